@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-from . import exact_dedup, mixing, topk, url_filter
+from . import bpe, exact_dedup, mixing, quality, token_counts, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,3 +141,28 @@ FROM d JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic,
 
 
 ORACLE_SQL["op9_mixing"] = _raking_sql()
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.over_limit(token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")), 2048)
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = quality.bucket_of(F.col("doc_id"), 4)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
+    out = quality.scored(docs, model)
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
