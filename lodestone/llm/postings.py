@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ def chunked(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[tu
     part, n, held, held_bytes = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
         text = batch.column(1)
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), np.int64)) if len(batch) else np.zeros(0, np.int64)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)) if len(batch) else np.zeros(0, np.int64)
         at = 0
         while at < len(batch):
             base = ends[at - 1] if at else 0

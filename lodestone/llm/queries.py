@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-from . import bpe, exact_dedup, mixing, quality, token_counts, topk, url_filter
+from . import bpe, exact_dedup, mixing, ngram_join, quality, token_counts, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -166,3 +166,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
     out = quality.scored(docs, model)
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), t=0.75, n=5)
