@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-from . import bpe, exact_dedup, mixing, ngram_join, quality, token_counts, topk, url_filter
+from . import bpe, exact_dedup, lm, mixing, ngram_join, quality, token_counts, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -171,3 +171,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), t=0.75, n=5)
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality.bucket_of(F.col("doc_id"), 7)
+    return lm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), fold != 2, fold == 2)
