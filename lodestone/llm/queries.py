@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-from . import bpe, exact_dedup, lm, mixing, ngram_join, quality, token_counts, topk, url_filter
+from . import bpe, exact_dedup, lm, mixing, ngram_join, quality, suffix_dedup, token_counts, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,3 +177,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = quality.bucket_of(F.col("doc_id"), 7)
     return lm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), fold != 2, fold == 2)
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=50)
