@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column functions: paths and sizes, packed numbers, hashes, colours and audio."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Relational operators over archive catalogs and tables of records."""
