@@ -1,4 +1,333 @@
-"""Registered queries over the given tables, each with its SQL twin."""
+"""Registered queries over the given tables, each with its SQL twin.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The given tables stand in for archives: documents are catalog entries, events a log and property
+cells, conversations localisation tables, orders mounted archives, and so on.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import numeric, paths
+from lodestone.operators import entries, lookups, shapes
+from lodestone.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+EXTENSIONS = ("uasset", "umap", "uexp", "ubulk", "locres", "txt")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def catalog(docs: DataFrame) -> DataFrame:
+    """documents as archive entries: doc_id, path, size, source."""
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    path = F.concat(F.lit("Game/"), "lang", F.lit("/"), "source", F.lit("/Doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    return docs.select("doc_id", path.alias("path"), F.col("n_chars").alias("size"), "source")
+
+
+CATALOG = f"cat AS (SELECT doc_id, 'Game/' || lang || '/' || source || '/Doc_' || doc_id || '.' || ({list(EXTENSIONS)})[doc_id % 6 + 1] AS path, n_chars AS size, source FROM documents)"
+EXT = "CASE WHEN regexp_matches(split_part(path, '/', -1), '(?s)^.+\\.') THEN lower(regexp_extract(split_part(path, '/', -1), '(?s)^.+\\.([^.]*)$', 1)) END"
+CLASS = f"CASE WHEN {EXT} IN ('uasset', 'umap') THEN 'asset' WHEN {EXT} IN ('uexp', 'ubulk', 'uptnl') THEN 'companion' WHEN {EXT} = 'locres' THEN 'locres' ELSE 'raw' END"
+
+
+@query(rf"""WITH {CATALOG}
+SELECT path, size FROM cat WHERE {EXT} IN ('uasset', 'umap', 'uexp') AND regexp_matches(path, '^(?s:Game/.*/src1.*)$')
+  AND regexp_matches(split_part(path, '/', -1), '^(?s:Doc_[^0].*)$') AND regexp_matches(path, 'src1[0-9]?/') AND size BETWEEN 256 AND 1048576""")
+def entry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = entries.search(catalog(table(spark, sf_dir, "documents")), ext=["UAsset", "umap", "uexp"], glob="Game/*/src1*", name="Doc_[!0]*", regex="src1[0-9]?/", min_size="256", max_size="1 MiB")
+    return found.select("path", "size")
+
+
+@query(f"WITH {CATALOG} SELECT 'a.pak' AS source, path, size FROM cat WHERE doc_id % 2 = 0 UNION ALL SELECT 'b.pak', path, size FROM cat WHERE doc_id % 3 = 0")
+def entry_list_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = catalog(table(spark, sf_dir, "documents"))
+    return entries.union_sources({"b.pak": cat.filter("doc_id % 3 = 0").select("path", "size"), "a.pak": cat.filter("doc_id % 2 = 0").select("path", "size")})
+
+
+@query(f"WITH {CATALOG} SELECT {CLASS} AS class, count(*) AS n, sum(size)::BIGINT AS bytes FROM cat GROUP BY 1")
+def entry_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = catalog(table(spark, sf_dir, "documents"))
+    return cat.groupBy(paths.entry_class(F.col("path")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("""WITH o AS (SELECT source, CASE WHEN n_chars < 100 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'raw' ELSE 'exported' END AS kind FROM documents)
+SELECT source, count(*) AS n, count(*) FILTER (kind = 'exported') AS n_exported, count(*) FILTER (kind = 'raw') AS n_raw, count(*) FILTER (kind = 'failed') AS n_failed, bool_or(kind = 'failed') AS had_failures FROM o GROUP BY source""")
+def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("n_chars") < 100, "failed").when(F.col("doc_id") % 5 == 0, "raw").otherwise("exported")
+    return entries.outcome_summary(table(spark, sf_dir, "documents").select("source", kind.alias("kind")), "source", "kind", ["exported", "raw", "failed"])
+
+
+@query("""SELECT user_id, event_type, event_id, value, n_rows FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r, count(*) OVER (PARTITION BY user_id, event_type) AS n_rows FROM events) WHERE r = 1""")
+def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.last_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("""SELECT o_custkey, o_orderkey, archive FROM (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS archive, max(o_orderkey % 3) OVER (PARTITION BY o_custkey) AS top FROM orders) WHERE archive = top""")
+def mount_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.mount_override(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 3).alias("archive")), "o_custkey", "archive")
+
+
+@query("""SELECT c_custkey, CASE WHEN n_name IS NULL THEN '<oob:' || i || '>' WHEN k > 0 THEN n_name || '_' || (k - 1) ELSE n_name END AS resolved
+FROM (SELECT c_custkey, (c_custkey % 30)::INTEGER AS i, c_custkey % 4 AS k FROM customer) LEFT JOIN nation ON i = n_nationkey""")
+def name_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 30).cast("int").alias("i"), (F.col("c_custkey") % 4).alias("k"))
+    pool = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("name"))
+    return lookups.resolve_names(refs, pool, "i", "k").select("c_custkey", "resolved")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN l_suppkey ELSE -l_partkey END AS ref FROM lineitem)
+SELECT l_orderkey, l_linenumber, ref, coalesce(CASE WHEN ref = 0 THEN 'Null' WHEN ref > 0 THEN s_name ELSE c_name END, '<oob:' || ref || '>') AS target
+FROM r LEFT JOIN supplier ON ref - 1 = s_suppkey LEFT JOIN customer ON -ref - 1 = c_custkey""")
+def object_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("l_partkey") % 3
+    ref = F.when(kind == 0, 0).when(kind == 1, F.col("l_suppkey")).otherwise(-F.col("l_partkey"))
+    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ref.cast("long").alias("ref"))
+    imports = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("name"))
+    exports = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("name"))
+    return lookups.resolve_refs(refs, "ref", imports, exports)
+
+
+@query(f"""WITH {CATALOG}, a AS (SELECT path, CASE WHEN lower(path) LIKE '%.uasset' THEN regexp_replace(path, '(?i)\\.uasset$', '') || '.uexp' ELSE path || '.uexp' END AS companion FROM cat WHERE {EXT} = 'uasset'),
+f AS (SELECT 'Game/' || lang || '/' || source || '/Doc_' || doc_id || '.uexp' AS path, quality FROM documents JOIN labels USING (doc_id))
+SELECT a.path AS path, a.companion AS companion, f.quality AS quality, f.path IS NOT NULL AS present FROM a LEFT JOIN f ON a.companion = f.path""")
+def companion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    assets = catalog(docs).filter(paths.extension(F.col("path")) == "uasset").select("path", paths.companion_path(F.col("path"), ".uexp").alias("companion"))
+    path = F.concat(F.lit("Game/"), "lang", F.lit("/"), "source", F.lit("/Doc_"), F.col("doc_id").cast("string"), F.lit(".uexp"))
+    files = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(path.alias("companion"), "quality", F.lit(True).alias("p"))
+    return assets.join(files, "companion", "left").select("path", "companion", "quality", F.coalesce("p", F.lit(False)).alias("present"))
+
+
+@query("""SELECT event_id, o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate""")
+def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), "ts")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"), "o_orderkey")
+    return lookups.as_of(events, orders, "k", "ts", ["at", "o_orderkey"], "o_orderkey").select("event_id", "o_orderkey")
+
+
+@query("""WITH r AS (SELECT p_partkey % 40 * 2000 AS lo, p_partkey % 40 * 2000 + 500 + p_size * 100 AS hi, p_partkey AS ordinal FROM part WHERE p_partkey < 200)
+SELECT l_orderkey, l_linenumber, max(ordinal) AS owner FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT AS v FROM lineitem) LEFT JOIN r ON v >= lo AND v < hi GROUP BY l_orderkey, l_linenumber, v""")
+def range_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lo = F.col("p_partkey") % 40 * 2000
+    ranges = table(spark, sf_dir, "part").filter("p_partkey < 200").select(lo.alias("lo"), (lo + 500 + F.col("p_size") * 100).alias("hi"), F.col("p_partkey").alias("ordinal"))
+    values = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("v"))
+    return lookups.range_owner(values, "v", ranges, 1000).select("l_orderkey", "l_linenumber", "owner")
+
+
+@query("""SELECT s_nationkey AS key, min(s_name) AS name, 'local' AS layer FROM supplier GROUP BY 1
+UNION ALL SELECT c_nationkey, min_by(c_name, c_custkey), 'registry' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY 1""")
+def priority_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.min("s_name").alias("name"), F.lit(0).cast("long").alias("ord"))
+    registry = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"), F.col("c_custkey").alias("ord"))
+    return lookups.layered(local, registry, "key", "ord").select("key", "name", "layer")
+
+
+@query("""WITH l AS (SELECT doc_id, sha1(text) AS h FROM documents WHERE doc_id % 7 <> 0), r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN sha1(text || '!') ELSE sha1(text) END AS h FROM documents WHERE doc_id % 5 <> 0)
+SELECT * FROM (SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_left' WHEN r.doc_id IS NULL THEN 'missing_right' WHEN l.h <> r.h THEN 'mismatch' END AS fault FROM l FULL JOIN r ON l.doc_id = r.doc_id) WHERE fault IS NOT NULL""")
+def hash_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bad = F.when(F.col("doc_id") % 11 == 0, F.sha1(F.concat("text", F.lit("!")))).otherwise(F.sha1("text"))
+    return lookups.cross_check(docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha1("text").alias("h")), docs.filter("doc_id % 5 <> 0").select("doc_id", bad.alias("h")), "doc_id", "h")
+
+
+@query("""WITH e AS (SELECT source, text, CASE doc_id % 4 WHEN 0 THEN repeat('0', 40) WHEN 1 THEN sha1(text || '!') ELSE sha1(text) END AS claimed, source IN ('src0', 'src1') AS claims FROM documents),
+o AS (SELECT source, CASE WHEN claimed = repeat('0', 40) AND claims THEN 'stripped' WHEN claimed = repeat('0', 40) THEN 'skipped' WHEN sha1(text) = claimed THEN 'verified' ELSE 'mismatch' END AS outcome FROM e)
+SELECT source, count(*) FILTER (outcome = 'verified') AS verified, count(*) FILTER (outcome = 'mismatch') AS mismatch, count(*) FILTER (outcome = 'stripped') AS stripped, count(*) FILTER (outcome = 'skipped') AS skipped, bool_and(outcome = 'verified') AS fully_verified FROM o GROUP BY source""")
+def verify_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    claimed = F.when(k == 0, "0" * 40).when(k == 1, F.sha1(F.concat("text", F.lit("!")))).otherwise(F.sha1("text"))
+    out = table(spark, sf_dir, "documents").select("source", entries.verify_outcome(F.col("text"), claimed, F.col("source").isin("src0", "src1")).alias("outcome"))
+    n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    return out.groupBy("source").agg(*map(n, ("verified", "mismatch", "stripped", "skipped")), F.bool_and(F.col("outcome") == "verified").alias("fully_verified"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, s AS block_start, e AS block_end, coalesce(s >= lag(e) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, s, e), true) AS in_order
+FROM (SELECT l_orderkey, l_linenumber, l_linenumber * 100 + l_partkey % 90 AS s, l_linenumber * 100 + l_partkey % 90 + l_suppkey % 120 AS e FROM lineitem)""")
+def block_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("l_linenumber") * 100 + F.col("l_partkey") % 90
+    blocks = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", start.alias("block_start"), (start + F.col("l_suppkey") % 120).alias("block_end"))
+    return entries.block_order(blocks, "l_orderkey", ["l_linenumber", "block_start", "block_end"], "block_start", "block_end")
+
+
+@query("""SELECT l_orderkey, l_linenumber, running, running <= 80 AS accepted FROM (SELECT l_orderkey, l_linenumber, (sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM lineitem)""")
+def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    return entries.running_budget(rows, "l_orderkey", ["l_linenumber", "q"], "q", 80).drop("q")
+
+
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT user_id, " + ", ".join(f"(min_by(value, event_id) FILTER (event_type = '{t}')) AS {t}" for t in TYPES) + " FROM events GROUP BY user_id")
+def column_union_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.pivot_first(table(spark, sf_dir, "events"), "user_id", "event_type", "value", ["event_id"])
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
+def json_navigate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""SELECT 'conv' || conv_id AS namespace, role || '[' || turn || ']' AS key, text AS localized FROM conversations""")
+def locres_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat("role", F.lit("["), F.col("turn").cast("string"), F.lit("]"))
+    return table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("namespace"), key.alias("key"), F.col("text").alias("localized"))
+
+
+@query("""SELECT conv_id, string_agg(left(text, 40), '' ORDER BY turn, left(text, 40)) AS joined, count(*) AS n_parts FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def chunk_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.joined_parts(table(spark, sf_dir, "conversations").filter("text IS NOT NULL"), "conv_id", "turn", "text", 40)
+
+
+@query("""SELECT user_id, (r * least(n, 16)) // n AS bucket, min(value) AS low, max(value) AS high FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY ALL""")
+def waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.even_buckets(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 16)
+
+
+@query("""SELECT (dim - 1)::INTEGER AS dim, min(embedding[dim]) AS low, max(embedding[dim]) AS high FROM embeddings, unnest(generate_series(1, len(embedding))) t(dim) GROUP BY 1""")
+def bounds_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.component_bounds(table(spark, sf_dir, "embeddings"), "embedding")
+
+
+@query("""SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5)) AS unit FROM embeddings""")
+def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(numeric.unit_vector(F.col("embedding")), lambda x: F.round(x, 5)).alias("unit"))
+
+
+@query("""WITH w AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: greatest(floor(x::DOUBLE * 100)::BIGINT, 0)) AS w FROM embeddings),
+s AS (SELECT vec_id, w, list_sum(w)::BIGINT AS t FROM w), c AS (SELECT vec_id, t, list_transform(w, lambda x: (x * 255 + t // 2) // greatest(t, 1)) AS c FROM s),
+m AS (SELECT vec_id, t, c, 255 - list_sum(c)::BIGINT AS rest, len(c) + 1 - list_position(list_reverse(c), list_max(c)) AS top FROM c)
+SELECT vec_id, list_transform(c, lambda x, i: CASE WHEN t = 0 THEN CASE WHEN i = 1 THEN 255 ELSE 0 END WHEN i = top THEN greatest(least(x + rest, 255), 0) ELSE x END::BIGINT) AS weights FROM m""")
+def weight_renorm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.transform(F.slice("embedding", 1, 8), lambda x: F.greatest(F.floor(x.cast("double") * 100), F.lit(0).cast("long")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", w.alias("w")).select("vec_id", numeric.renormalized(F.col("w")).alias("weights"))
+
+
+@query("""WITH x AS (SELECT event_id, CASE WHEN isnan(value) THEN 0 ELSE least(greatest(value / 100, 0), 65504) END AS x FROM events),
+t AS (SELECT event_id, least(greatest(x * (x * 2.51::DOUBLE + 0.03::DOUBLE) / (x * (x * 2.43::DOUBLE + 0.59::DOUBLE) + 0.14::DOUBLE), 0), 1) AS c FROM x)
+SELECT event_id, least(greatest(floor((CASE WHEN c <= 0.0031308::DOUBLE THEN c * 12.92::DOUBLE ELSE pow(c, 1 / 2.4::DOUBLE) * 1.055::DOUBLE - 0.055::DOUBLE END) * 255 + 0.5::DOUBLE), 0), 255)::INTEGER AS grey FROM t""")
+def tone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", numeric.byte(numeric.srgb(numeric.tone_map(F.col("value") / 100))).alias("grey"))
+
+
+def _spread(x: str) -> str:
+    x = f"(({x}) & 65535)"
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        x = f"(xor({x}, ({x}) << {shift}) & {mask})"
+    return x
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_spread('l_linenumber::BIGINT')} | ({_spread('l_partkey')} << 1) AS address FROM lineitem")
+def morton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numeric.morton(F.col("l_linenumber"), F.col("l_partkey")).alias("address"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, list_transform([0, 8, 16, 24], lambda s: round(((xor((l_partkey * 2654435761) & 4294967295, 2155905152) >> s) & 255)::DOUBLE / 127.5::DOUBLE - 1, 9)) AS normal FROM lineitem""")
+def packed_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = (F.col("l_partkey") * 2654435761).bitwiseAND(0xFFFFFFFF)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.transform(numeric.packed_normal(raw), lambda x: F.round(x, 9)).alias("normal"))
+
+
+@query(f"""SELECT p_partkey, lpad(to_hex(list_reduce(list_transform(range(1, length(p_name) + 1), lambda i: ascii(lower(p_name[i]))::HUGEINT), lambda h, b: ((xor(h, b) * {numeric.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT * {numeric.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT, {numeric.FNV_BASIS}::HUGEINT)::UBIGINT).lower(), 16, '0') AS path_hash FROM part""")
+def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", numeric.path_hash(F.col("p_name")).alias("path_hash"))
+
+
+@query("""WITH RECURSIVE p(node, parent) AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'World' FROM region UNION ALL SELECT 'World', NULL),
+c(root, node, depth) AS (SELECT node, node, 0 FROM p UNION ALL SELECT c.root, p.parent, c.depth + 1 FROM c JOIN p ON c.node = p.node WHERE p.parent IS NOT NULL)
+SELECT root, node, depth FROM c""")
+def inherit_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    edges = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("parent"))
+    edges = edges.union(region.select("r_name", F.lit("World"))).union(region.select(F.lit("World"), F.lit(None).cast("string")).distinct())
+    return lookups.closure(edges)
+
+
+@query(f"""WITH {CATALOG}, e AS (SELECT DISTINCT string_split(path, '/') AS p FROM cat), x AS (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM e),
+n AS (SELECT array_to_string(p[1:depth], '/') AS node, CASE WHEN depth > 1 THEN array_to_string(p[1:depth - 1], '/') END AS parent, p[depth] AS label, depth::INTEGER AS depth, bool_and(depth = len(p)) AS is_file, count(*) AS n_files FROM x GROUP BY ALL),
+k AS (SELECT DISTINCT array_to_string(p[1:d], '/') AS node FROM (SELECT p, unnest(range(1, len(p) + 1)) AS d FROM (SELECT string_split(node, '/') AS p FROM n WHERE contains(lower(label), 'doc_1')))),
+o AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY is_file, label)::INTEGER AS place FROM n WHERE node IN (SELECT node FROM k))
+SELECT node, parent, label, depth, is_file, n_files, place FROM o""")
+def path_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = shapes.path_nodes(catalog(table(spark, sf_dir, "documents")))
+    return shapes.dirs_first(shapes.with_matches(nodes, "Doc_1"))
+
+
+@query("""WITH kept AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 2000)
+SELECT event_id, rpad(upper(event_type), 8, ' ') || ' user' || user_id || ' ' || props AS line FROM kept WHERE user_id % 5 <= 2 AND contains(event_type, 'i') AND contains(props, '1')""")
+def log_filter_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = shapes.last_rows(table(spark, sf_dir, "events"), "event_id", 2000)
+    line = F.concat(F.rpad(F.upper("event_type"), 8, " "), F.lit(" user"), F.col("user_id").cast("string"), F.lit(" "), "props")
+    return kept.filter((F.col("user_id") % 5 <= 2) & F.contains("event_type", F.lit("i")) & F.contains("props", F.lit("1"))).select("event_id", line.alias("line"))
+
+
+@query("""SELECT doc_id, n_chars > 500 AND contains(left(text, 1048576), 'the') AS is_game, false AS no_rules FROM documents""")
+def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = [F.col("n_chars") > 500, F.contains(F.substring("text", 1, 1 << 20), F.lit("the"))]
+    return table(spark, sf_dir, "documents").select("doc_id", shapes.rules_hold(tests).alias("is_game"), shapes.rules_hold([]).alias("no_rules"))
+
+
+@query("""SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) ELSE printf('%.1f MiB', n / 1048576.0::DOUBLE) END AS size_text,
+CASE WHEN m % 1048576 = 0 AND m >= 1048576 THEN (m // 1048576) || ' MiB' WHEN m % 1024 = 0 AND m >= 1024 THEN (m // 1024) || ' KiB' ELSE m || ' bytes' END AS label
+FROM (SELECT page_id, length(html) AS n, length(html) // 7 * 256 AS m FROM pages)""")
+def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("html").cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", paths.format_size(n).alias("size_text"), paths.exact_size_label(F.floor(n / 7) * 256).alias("label"))
+
+
+@query(rf"""WITH {CATALOG}, r AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '../' || path WHEN 1 THEN 'C:' || path WHEN 2 THEN replace(path, '/', '\') WHEN 3 THEN '/' || path WHEN 4 THEN './/' || path WHEN 5 THEN '' ELSE path END AS raw FROM cat),
+s AS (SELECT doc_id, raw, list_filter(string_split(replace(raw, '\', '/'), '/'), lambda x: x NOT IN ('', '.')) AS parts FROM r),
+b AS (SELECT *, raw = '' OR starts_with(replace(raw, '\', '/'), '/') OR regexp_matches(raw, '^[A-Za-z]:') OR list_contains(parts, '..') OR len(parts) = 0 AS bad FROM s)
+SELECT doc_id, CASE WHEN NOT bad THEN array_to_string(parts, '/') END AS safe, CASE WHEN NOT bad THEN parts[-1] END AS flat FROM b""")
+def safe_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, p = F.col("doc_id") % 7, F.col("path")
+    raw = F.when(k == 0, F.concat(F.lit("../"), p)).when(k == 1, F.concat(F.lit("C:"), p)).when(k == 2, F.replace(p, F.lit("/"), F.lit("\\"))).when(k == 3, F.concat(F.lit("/"), p)).when(k == 4, F.concat(F.lit(".//"), p)).when(k == 5, "").otherwise(p)
+    return catalog(table(spark, sf_dir, "documents")).select("doc_id", raw.alias("raw")).select("doc_id", paths.safe_path(F.col("raw")).alias("safe"), paths.safe_path(F.col("raw"), flat=True).alias("flat"))
+
+
+@query("""SELECT event_id, greatest(epoch(TIMESTAMP '2024-06-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT, 0) > 24 * 3600 AS stale FROM events""")
+def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 1_000_000)
+    return table(spark, sf_dir, "events").select("event_id", shapes.stale(at(F.lit("2024-06-01 00:00:00")), at(F.col("ts")), 24).alias("stale"))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT user_id, (event_id % 16)::INTEGER AS code, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+d(user_id, i, v, a) AS (SELECT user_id, 0::BIGINT, 0, 0 FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, i, greatest(least(CASE WHEN code & 8 <> 0 THEN v - diff ELSE v + diff END, 32767), -32768)::INTEGER, greatest(least(a + ({list(numeric.IMA_INDEX)})[(code & 7) + 1], 88), 0)::INTEGER
+  FROM (SELECT c.user_id AS user_id, c.i AS i, v, a, code, (s >> 3) + CASE WHEN code & 1 <> 0 THEN s >> 2 ELSE 0 END + CASE WHEN code & 2 <> 0 THEN s >> 1 ELSE 0 END + CASE WHEN code & 4 <> 0 THEN s ELSE 0 END AS diff
+        FROM (SELECT *, ({list(numeric.IMA_STEPS)})[a + 1] AS s FROM d) d JOIN c ON c.user_id = d.user_id AND c.i = d.i + 1))
+SELECT user_id, list(v ORDER BY i) AS samples FROM d WHERE i > 0 GROUP BY user_id""")
+def adpcm_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select("user_id", "event_id", (F.col("event_id") % 16).cast("int").alias("code"))
+    codes = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "code"))), lambda x: x["code"])
+    return events.groupBy("user_id").agg(codes.alias("codes")).select("user_id", numeric.adpcm_fold(F.col("codes")).alias("samples"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity, grouping(l_returnflag, l_linestatus)::INTEGER AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def bonus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.grouping_id().cast("int").alias("level"))
+
+
+@query("""WITH t AS (SELECT user_id, event_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true) AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, event_id, sum(starts::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM t)
+SELECT user_id, k::BIGINT AS session, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY ALL""")
+def bonus_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    starts = F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 30 MINUTES"), F.lit(True))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", starts.alias("starts"))
+    rows = rows.withColumn("session", F.sum(F.col("starts").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
