@@ -7,8 +7,9 @@ score. The blocks' winners meet in a ranked window that Spark cuts to k rows bef
 
 Edge cases: vectors that are null or hold null, NaN or infinite components take no part, nor do
 rows without an id; shorter vectors count as padded with zeros; ties go to the smaller id; fewer
-candidates than k give all of them; empty tables give no rows; repeated ids are rows of their
-own but never partners of a query with that id.
+candidates than k give all of them; empty tables give no rows; rows that repeat an id are
+candidates of their own, never partners of a query with that id, and ask once (as the least
+vector).
 """
 
 from __future__ import annotations
@@ -92,7 +93,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     n_c, n_q = max(1, math.ceil(n / candidate_block)), max(1, math.ceil(q / query_block))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     c = rows.select("id", "vec", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("id", "vec"), F.lit(n_c)).cast("int").alias("cb"), every(n_q).alias("qb"))
-    a = rows.filter("asks").select("id", "vec", F.lit(True).alias("is_query"), every(n_c).alias("cb"), F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int").alias("qb"))
+    asked = rows.filter("asks").groupBy("id").agg(F.min("vec").alias("vec"))
+    a = asked.select("id", "vec", F.lit(True).alias("is_query"), every(n_c).alias("cb"), F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int").alias("qb"))
     found = c.unionByName(a).groupBy("cb", "qb").applyInArrow(_block(k), OUT)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
