@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Structured Streaming over the event log (an addition: the batch operators have no streams)."""
