@@ -6,8 +6,12 @@ anchor (the k-byte substring of least hash, leftmost of equals) inside it, and t
 of a document with one anchor is a fragment of at most 2 * length - k bytes. Fragments go to the
 bucket of their anchor's hash.
 
-A bucket drops anchors that stand in one document only, and keeps one of equal fragments with the
-smallest id that has it. Fragments whose anchor has no other fragment are settled by that. The
+First only anchors are asked for, as 32-bit fingerprints within their bucket: an anchor that stands
+in one document has nothing to share, and most do. Documents then send the fragments of the
+anchors that several have.
+
+A bucket drops what a fingerprint let through, and keeps one of equal fragments with the smallest
+id that has it. Fragments whose anchor has no other fragment are settled by that. The
 others are dealt into shards; each shard's suffixes are sorted once and give its transform, and
 the transforms are merged by refining their interleave: round h reads the transforms in the
 order of round h - 1 and deals their symbols stably, which sorts by the first h symbols. Where a
@@ -40,6 +44,7 @@ LAST_ID = (1 << 63) - 1
 K = 20
 #: Bytes that are cut at once, and symbols that are merged at once.
 RUN, MERGE = 1 << 20, 1 << 22
+CHUNK = 8 << 20
 SHARDS = 4
 _POS = np.uint64((1 << 28) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -171,31 +176,94 @@ def _masks(hit: np.ndarray) -> np.ndarray:
     return (hit.astype(np.uint64) << np.arange(hit.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def _cuts(texts: list[bytes], length: int):
+    """(first document, bytes, anchors, starts, sizes, documents, positions) of runs of about RUN bytes of texts."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) <= RUN):
+            n += len(texts[j])
+            j += 1
+        sizes = np.array([len(t) for t in texts[i:j]], np.int64)
+        flat, ends = np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum(sizes)
+        doc = np.repeat(np.arange(j - i), sizes)
+        anchor, start, n_starts = fragments(flat, doc, ends, length)
+        d = doc[start] if len(start) else start
+        yield flat, anchor, start, n_starts + length - 1, d + i, start - (ends - sizes)[d]
+        i = j
+
+
+def _identity(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Ids (LAST_ID for null), which are null, prints and bytes of a chunk's documents (id, text, print)."""
+    raw = [x for b in held for x in b.column(0).to_pylist()]
+    texts = [(t or "").encode() for b in held for t in b.column(1).to_pylist()]
+    prints = np.array([x for b in held for x in b.column(2).to_pylist()], np.int64)
+    return np.array([LAST_ID if x is None else x for x in raw], np.int64), np.array([x is None for x in raw], np.uint8), prints, texts
+
+
+def _short(anchor: np.ndarray) -> np.ndarray:
+    """32 bits of anchors that their bucket (the rest modulo the buckets) does not tell."""
+    return (anchor >> np.uint64(32)).astype(np.uint32)
+
+
+def _ask(length: int):
+    def encode(held: list[pa.RecordBatch], buckets: int) -> tuple[bytes, dict[int, bytes]]:
+        ids, absent, prints, texts = _identity(held)
+        cuts = list(_cuts(texts, length))
+        anchor = np.concatenate([np.zeros(0, np.uint64), *(c[1] for c in cuts)])
+        doc = np.concatenate([np.zeros(0, np.int64), *(c[4] for c in cuts)])
+        bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        parts = {}
+        for b in np.flatnonzero(np.diff(edges)):
+            mine = order[edges[b] : edges[b + 1]]
+            pair = np.unique(doc[mine].astype(np.uint64) << np.uint64(32) | _short(anchor[mine]))
+            parts[int(b)] = pack(narrow(pair >> np.uint64(32)), pair.astype(np.uint32))
+        return pack(ids, absent, prints), parts
+
+    return encode
+
+
+def _repeated(blobs: list[bytes]) -> list[bytes | None]:
+    """Of each chunk's (document, anchor) those whose anchor another document has."""
+    got = [unpack(x) for x in blobs]
+    short = np.concatenate([np.zeros(0, np.uint32), *(g[1] for g in got)])
+    order = np.argsort(short, kind="stable")
+    equal = short[order][1:] == short[order][:-1]
+    many = np.zeros(len(short), bool)
+    many[order[1:][equal]] = many[order[:-1][equal]] = True
+    cuts = np.cumsum([0, *(len(g[1]) for g in got)])
+    keep = [many[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [pack(narrow(doc[k]), a[k]) if k.any() else None for (doc, a), k in zip(got, keep, strict=True)]
+
+
+def _by_document(base: bytes, parts: list[bytes]) -> pa.Table:
+    """(doc_id, print, anchors) of the chunk's documents that share an anchor."""
+    ids, absent, prints = unpack(base)
+    got = [unpack(x) for x in parts]
+    doc = np.concatenate([np.zeros(0, np.int64), *(g[0].astype(np.int64) for g in got)])
+    short = np.concatenate([np.zeros(0, np.uint32), *(g[1] for g in got)])
+    order = np.argsort(doc, kind="stable")
+    who, cut = np.unique(doc[order], return_index=True)
+    cut = [*cut.tolist(), len(doc)]
+    anchors = [short[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table({"doc_id": pa.array(ids[who], mask=absent[who].astype(bool)), "print": prints[who], "anchors": pa.array(anchors, pa.binary())})
+
+
 def _encode(length: int):
     width = -(-(2 * length - K) // 8) * 8
 
     def encode(held: list[pa.RecordBatch], buckets: int) -> tuple[bytes, dict[int, bytes]]:
-        ids = np.array([LAST_ID if x is None else x for b in held for x in b.column(0).to_pylist()], np.int64)
-        absent = np.array([x is None for b in held for x in b.column(0).to_pylist()], np.uint8)
-        texts = [(t or "").encode() for b in held for t in b.column(1).to_pylist()]
-        prints = np.array([x for b in held for x in b.column(2).to_pylist()], np.int64)
-        got, i = [], 0
-        while i < len(texts):
-            j, n = i, 0
-            while j < len(texts) and (j == i or n + len(texts[j]) <= RUN):
-                n += len(texts[j])
-                j += 1
-            sizes = np.array([len(t) for t in texts[i:j]], np.int64)
-            flat, ends = np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum(sizes)
-            doc = np.repeat(np.arange(j - i), sizes)
-            anchor, start, n_starts = fragments(flat, doc, ends, length)
-            size = n_starts + length - 1
+        ids, absent, prints, texts = _identity(held)
+        shared = [np.frombuffer(x, np.uint32) for b in held for x in b.column(3).to_pylist()]
+        known = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i << 32) | x for i, x in enumerate(shared))])
+        got = [(np.zeros(0, np.uint64), *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2, np.zeros((0, width), np.uint8))]
+        for flat, anchor, start, size, doc, pos in _cuts(texts, length):
+            keep = np.isin(doc.astype(np.uint64) << np.uint64(32) | _short(anchor), known)
+            anchor, start, size, doc, pos = anchor[keep], start[keep], size[keep], doc[keep], pos[keep]
             rows = rows_of(flat, start, size, width)
-            d = doc[start] if len(start) else start
-            got.append((anchor, *fingerprints(rows, size), size.astype(np.uint8), d + i, start - (ends - sizes)[d], rows))
-            i = j
-        if not got:
-            got.append((*[np.zeros(0, np.uint64)] * 3, np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2, np.zeros((0, width), np.uint8)))
+            got.append((anchor, *fingerprints(rows, size), size.astype(np.uint8), doc, pos, rows))
         anchor, a, b, size, doc, pos = (np.concatenate([g[k] for g in got]) for k in range(6))
         same = classes(a, b)
         least = np.full(same.max() + 1 if len(same) else 0, LAST_ID)
@@ -304,8 +372,18 @@ def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None
     """(doc_id, print, spans) of the rows of docs (doc_id, text, print) that lose bytes; spans: pairs of int64 (from, to)."""
     if not 2 * K <= length <= K + 60:
         raise ValueError(f"length must be from {2 * K} to {K + 60}")
-    found = postings.two_hops(docs, buckets or postings.bucket_count(docs, size=16 << 20), _encode(length), _solve(length), _merge(length), "doc_id long, print long, spans binary", 8 << 20)
-    return found.dropDuplicates(["doc_id", "print"])
+    buckets = buckets or postings.bucket_count(docs, size=16 << 20)
+    asked = postings.two_hops(docs, buckets, _ask(length), _repeated, _by_document, "doc_id long, print long, anchors binary", CHUNK)
+    sharing = with_rows(docs, asked, "inner").select("doc_id", "text", "print", "anchors")
+    found = postings.two_hops(sharing, buckets, _encode(length), _solve(length), _merge(length), "doc_id long, print long, spans binary", CHUNK)
+    return found
+
+
+def with_rows(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """docs joined to other's row of the same (doc_id, print). Both joins of a run shuffle docs alike, so Spark does it once."""
+    rest = [c for c in other.columns if c not in ("doc_id", "print")]
+    once = other.dropDuplicates(["doc_id", "print"]).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), *rest)
+    return docs.join(once.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), how)
 
 
 def _cut(batches):
@@ -329,6 +407,5 @@ def _cut(batches):
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("print"))
-    spans = repeated_spans(rows, length, buckets).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "spans")
-    both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left")
+    both = with_rows(rows, repeated_spans(rows, length, buckets), "left")
     return both.select("doc_id", "text", "spans").mapInArrow(_cut, SCHEMA)
