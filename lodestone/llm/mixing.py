@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import staged
+
 DIMS = ("source", "lang", "topic")
 #: Cells are the product of three small vocabularies; beyond this the sums stay in Spark.
 MAX_CELLS = 200_000
@@ -34,12 +36,6 @@ def form_topic(text: Column) -> Column:
     return F.when(has(" | "), "table").when(has("!! "), "shouting").when(has("%%% ") | has("$$$ "), "symbols").otherwise("prose")
 
 
-def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
-    """Target shares of one marginal: tokens ** alpha, over their sum."""
-    sums = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).select(dim, F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(alpha))).otherwise(0.0).alias("share"))
-    return sums
-
-
 def rake(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
     """Cell weights whose sums by each code approach shares; a marginal's shares sum to 1."""
     w = tokens / max(tokens.sum(), 1)
@@ -61,12 +57,42 @@ def cap_scale(tokens: np.ndarray, factor: np.ndarray, rate: float) -> float:
     return float(k[ok[0]]) if len(ok) else (1.0 / f[f > 0].min() if (f > 0).any() else 0.0)
 
 
-def cell_weights(cells: DataFrame, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with factor and prob."""
+def _weights_in_spark(cells: DataFrame, alpha: float, rate: float, targets: dict[str, dict[str, float]] | None, rounds: int) -> DataFrame:
+    """As cell_weights, for more cells than the driver should hold: a round is three grouped sums."""
+    spark = cells.sparkSession
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    shares = {}
+    for d in DIMS:
+        sums = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("t"))
+        share = F.when(F.col("t") > 0, F.pow("t", F.lit(alpha))).otherwise(0.0)
+        if targets and d in targets:
+            wanted = spark.createDataFrame(list(targets[d].items()), f"{d} string, _want double")
+            sums, share = sums.join(wanted, d, "left"), F.when(F.col("t") > 0, F.coalesce("_want", F.col("t") / total)).otherwise(0.0)
+        sums = staged(sums.select(d, share.alias("share")), f"shares-{d}")
+        shares[d] = sums.withColumn("share", F.col("share") / max(sums.agg(F.sum("share")).first()[0] or 0, 1e-300))
+    rows = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
+    for _ in range(rounds):
+        for d in DIMS:
+            have = rows.groupBy(d).agg(F.sum("w").alias("_have"))
+            rows = rows.join(have, d).join(shares[d], d).withColumn("w", F.when(F.col("_have") > 0, F.col("w") * F.col("share") / F.col("_have")).otherwise(0.0)).select(*DIMS, "tokens", "w")
+        rows = staged(rows, "raked")
+    factor = F.when(F.col("tokens") > 0, F.col("w") * float(total) / F.col("tokens")).otherwise(0.0)
+    rows = staged(rows.select(*DIMS, "tokens", factor.alias("factor")), "factors")
+    expected = lambda k: rows.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * k))).first()[0]
+    lo, hi = 0.0, 1.0
+    while hi < 1e12 and expected(hi) < rate * total:
+        lo, hi = hi, 4 * hi
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if expected(mid) < rate * total else (lo, mid)
+    return rows.select(*DIMS, "factor", F.least(F.lit(1.0), F.col("factor") * hi).alias("prob"))
+
+
+def cell_weights(cells: DataFrame, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, most: int = MAX_CELLS) -> DataFrame:
+    """cells (source, lang, topic, tokens) with factor and prob; up to `most` cells are raked in numpy, more in Spark."""
     spark = cells.sparkSession
-    n = cells.limit(MAX_CELLS + 1).count()
-    if n > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells: coarsen source, language or topic first")
+    if cells.limit(most + 1).count() > most:
+        return _weights_in_spark(cells, alpha, rate, targets, rounds)
     got = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in DIMS))
     tokens = np.array([r["tokens"] for r in got], float)
     codes, shares = [], []
@@ -85,7 +111,8 @@ def cell_weights(cells: DataFrame, alpha: float = 0.5, rate: float = 0.5, target
     factor = np.divide(w * tokens.sum(), tokens, out=np.zeros_like(w), where=tokens > 0)
     prob = np.minimum(1.0, cap_scale(tokens, factor, rate) * factor) if got else factor
     rows = [(*(r[d] for d in DIMS), float(f), float(p)) for r, f, p in zip(got, factor, prob, strict=True)]
-    return spark.createDataFrame(rows, ", ".join(f"{d} string" for d in DIMS) + ", factor double, prob double")
+    # at most `most` rows of five small values
+    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{d} string" for d in DIMS) + ", factor double, prob double"))
 
 
 def draw(doc_id: Column) -> Column:
@@ -93,15 +120,14 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, topic: Column | None = None, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """docs' columns with topic_, n_tokens, factor, prob and sampled."""
+def mix(docs: DataFrame, topic: Column | None = None, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None, most: int = MAX_CELLS) -> DataFrame:
+    """docs' columns with _source, _lang, _topic, _n_tokens, _factor, _prob and _sampled."""
     known = lambda c: F.coalesce(c, F.lit("<null>"))
     topic = form_topic(docs["text"]) if topic is None else topic
     rows = docs.select(*[docs[c] for c in docs.columns], n_words(docs["text"]).alias("_n_tokens"), known(docs["source"]).alias("_source"), known(docs["lang"]).alias("_lang"), known(topic).alias("_topic"))
-    cells = rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_n_tokens").alias("tokens"))
-    weights = cell_weights(cells, alpha, rate, targets).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("factor").alias("_factor"), F.col("prob").alias("_prob"))
-    # at most MAX_CELLS rows of five small values, counted above
-    out = rows.join(F.broadcast(weights), [f"_{d}" for d in DIMS])
+    cells = staged(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_n_tokens").alias("tokens")), "cells")
+    weights = cell_weights(cells, alpha, rate, targets, most=most).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("factor").alias("_factor"), F.col("prob").alias("_prob"))
+    out = rows.join(weights, [f"_{d}" for d in DIMS])
     return out.withColumn("_sampled", draw(F.col("doc_id")) < F.col("_prob"))
 
 
