@@ -34,7 +34,7 @@ from .token_counts import byte_letters
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = 1 << 60
 #: Remembered pre-tokens and pairs of a worker; beyond this the memory starts anew.
-REMEMBER = 400_000
+REMEMBER = 150_000
 #: Characters of text that are encoded at once.
 RUN = 2 << 20
 
@@ -199,14 +199,21 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs with ids array<int> added (named ids, ids_ and so on, as is free)."""
+    names = docs.columns
     name = "ids"
-    while name in docs.columns:
+    while name in names:
         name += "_"
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+    at = names.index(text_col)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts):
-        return texts.fillna("").map(vocabulary(path).encode)
+    def run(batches):
+        bpe = vocabulary(path)
+        for batch in batches:
+            first = 0
+            for texts in runs([t or "" for t in batch.column(at).to_pylist()]):
+                ids = [bpe.encode(t) for t in texts]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, lists], [*names, name])
+                first += len(texts)
 
-    return docs.withColumn(name, ids(F.col(text_col)))
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} array<int>")
