@@ -95,14 +95,17 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)  # the bias stays at the labels' share: a text of unknown features gets that
     bias[1] = np.log(share / (1 - share))
-    rows = [text_features(t, buckets) for t in texts]
-    steps, done = epochs * len(rows), 0
+    # the sample's features lie in two flat arrays, so that the driver gives their memory back
+    got = [(f.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)) for f, n in (text_features(t, buckets) for t in texts)]
+    ends = np.cumsum([0, *(len(f) for f, _ in got)])
+    flat, parts = np.concatenate([f for f, _ in got]), np.concatenate([p for _, p in got])
+    del got
+    steps, done = epochs * len(y), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(y)):
             lr = rate * (1 - done / steps)
             done += 1
-            feats, n = rows[i]
-            part = (n / max(n.sum(), 1)).astype(np.float32)
+            feats, part = flat[ends[i] : ends[i + 1]], parts[ends[i] : ends[i + 1]]
             hidden = part @ vectors[feats]
             z = out @ hidden + bias
             p = np.exp(z - z.max())
@@ -159,7 +162,7 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int = 3000, label: str = "quality", **kw) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int = 2000, label: str = "quality", **kw) -> Model:
     """Train on about sample_rows labelled rows for which learn_from (over doc_id) holds."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label")).filter(learn_from)
     n = known.count()
@@ -168,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
     # sample_rows ids and labels at most, but for the spread of the draw
     got = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(drawn), "doc_id").toPandas()
     got = got.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-    return train([t if isinstance(t, str) else None for t in got["text"]], got["label"].tolist(), **kw)
+    texts, known = [t if isinstance(t, str) else None for t in got["text"]], got["label"].tolist()
+    del got
+    return train(texts, known, **kw)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
