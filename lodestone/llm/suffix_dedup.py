@@ -114,20 +114,19 @@ def classes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def shard_transform(symbols: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, symbol before) of a shard's suffixes, sorted by depth symbols and more.
 
-    symbols: a row a string, bytes + 1, zeros from its end on; the end mark is the suffix at size.
+    symbols: a row a string, bytes + 1 (UTF-8 has no byte above 0xF4), zeros from its end on; the
+    end mark is the suffix at size.
     """
     m, width = symbols.shape
     string = np.repeat(np.arange(m), size + 1)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-    wide = np.zeros((m, width + depth + 16), np.uint64)
+    wide = np.zeros((m, width + depth + 16), np.uint8)
     wide[:, :width] = symbols
-    packed = np.zeros((m, wide.shape[1] - 6), np.uint64)
-    for j in range(7):
-        packed = (packed << np.uint64(9)) | wide[:, j : j + packed.shape[1]]
-    keys = [packed[string, offset + j] for j in range(0, depth + 7, 7)]
+    eight = np.ndarray((m, wide.shape[1] - 7), ">u8", wide, 0, (wide.shape[1], 1))
+    keys = [eight[string, offset + j].astype(np.uint64) for j in range(0, depth + 1, 8)]
     order = np.lexsort(keys[::-1])
     string, offset = string[order], offset[order]
-    return string, offset, np.where(offset > 0, symbols[string, offset - 1], 0).astype(np.uint16)
+    return string, offset, np.where(offset > 0, symbols[string, offset - 1], 0).astype(np.uint8)
 
 
 def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +138,7 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     flat = np.concatenate(transforms)
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     block, prefix = np.zeros(len(flat), np.int32), np.full(len(flat), depth, np.int16)
-    symbol, line = np.empty(len(flat), np.uint16), np.arange(len(flat))
+    symbol, line = np.empty(len(flat), flat.dtype), np.arange(len(flat))
     for h in range(depth):
         symbol[np.argsort(source, kind="stable")] = flat
         deal = np.argsort(symbol, kind="stable")
@@ -156,7 +155,7 @@ def smallest_ids(rows: np.ndarray, size: np.ndarray, ids: np.ndarray, length: in
     out = np.full((len(rows), rows.shape[1] - length + 1), LAST_ID)
     if not len(rows):
         return out
-    symbols, parts, at = rows.astype(np.uint16) + 1, [], 0
+    symbols, parts, at = rows + np.uint8(1), [], 0
     symbols[np.arange(rows.shape[1]) >= size[:, None]] = 0
     for part in np.array_split(np.arange(len(rows)), min(shards, len(rows))):
         string, offset, before = shard_transform(symbols[part], size[part], length)
