@@ -24,6 +24,12 @@ those of the rest that join different components; then, for lists whose members
 more than one component, the pairs between components. A group of thousands of near copies so
 costs a star and not its square, and no pair of different components is left unverified.
 
+Before texts meet, pairs are held against a bound: the universe is cut into parts, 1,024 or a
+larger power of two that is at least twice the set's size, and a document keeps of each the
+parity of its shingles there. Parts whose parities differ hold at least one shingle each in which
+the sets differ, so a pair with more than H of them is no link. Parities of twice the parts fold
+to those of half by exclusive or.
+
 Edge cases: null and empty texts and texts of white space have no set, no links and themselves
 as component; fewer than n words make one shingle of them all; rows that share an id are one
 document as far as links go; a null id links with nothing and has a null component; empty tables
@@ -37,7 +43,7 @@ from math import ceil, floor
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -59,7 +65,7 @@ class Words(dict):
     """64-bit hashes of words; starts anew when it holds many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -134,14 +140,30 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[int]
     return out, short
 
 
-FOUND = "kind string, a long, b long, members binary"
-_FOUND = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
+#: 64-bit words of the smallest parity sketch.
+SKETCH = 16
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: of 64 * SKETCH parts, and behind it of more parts if the set is larger than half that."""
+    m = small = 64 * SKETCH
+    while m < 2 * len(s):
+        m *= 2
+    odd = np.bincount((mix(s) >> np.uint64(40)).astype(np.int64) % m, minlength=m) & 1
+    words = lambda x: np.packbits(x.astype(np.uint8), bitorder="little").view(np.int64)
+    first = words(odd.reshape(-1, small).sum(axis=0) & 1)
+    return first if m == small else np.concatenate([first, words(odd)])
+
 
+FOUND = "kind string, a long, b long, members binary, sketch array<bigint>"
+_FOUND = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
-def _rows(kind: str, a, b=None, members=None) -> pa.RecordBatch:
+
+def _rows(kind: str, a, b=None, members=None, sketch=None) -> pa.RecordBatch:
     n = len(a)
-    none = lambda t: pa.nulls(n, t)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(a, pa.int64()), none(pa.int64()) if b is None else pa.array(b, pa.int64()), none(pa.binary()) if members is None else pa.array(members, pa.binary())], schema=_FOUND)
+    column = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+    lists = None if sketch is None else pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sketch[0])]).astype(np.int32), sketch[1])
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(a, pa.int64()), column(b, pa.int64()), column(members, pa.binary()), pa.nulls(n, _FOUND.field("sketch").type) if lists is None else lists], schema=_FOUND)
 
 
 def _publish(bands: Bands, n: int, buckets: int):
@@ -149,7 +171,7 @@ def _publish(bands: Bands, n: int, buckets: int):
 
     def run(batches):
         for chunk, held in chunked(batches):
-            ids, sizes, keys, owners, short = [], [], [], [], set()
+            ids, sizes, sketches, keys, owners, short = [], [], [], [], [], set()
             first: dict[bytes, int] = {}
             copies: list[tuple[int, int]] = []
             for batch in held:
@@ -157,6 +179,7 @@ def _publish(bands: Bands, n: int, buckets: int):
                     s = shingles(text, n)
                     ids.append(i)
                     sizes.append(len(s))
+                    sketches.append(parities(s))
                     if i is None or not len(s):
                         continue
                     if (leader := first.setdefault(xxhash.xxh3_128_digest(s.tobytes()), i)) != i:
@@ -171,7 +194,7 @@ def _publish(bands: Bands, n: int, buckets: int):
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(chunk % buckets, b"B" + pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array(sizes, np.int64), np.array(copies, np.int64).reshape(-1), np.array(sorted(short), np.int64)))]
+            out = [(chunk % buckets, b"B" + pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array(sizes, np.int64), np.array([len(x) for x in sketches], np.int64), np.concatenate([np.zeros(0, np.int64), *sketches]), np.array(copies, np.int64).reshape(-1), np.array(sorted(short), np.int64)))]
             for b in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[b] : cuts[b + 1]]
                 who, local = np.unique(owner[mine], return_inverse=True)
@@ -187,8 +210,8 @@ def _lists(t: pa.Table) -> pa.Table:
     out, keys, nodes = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for blob in t["blob"].to_pylist():
         if blob[:1] == b"B":
-            ids, absent, sizes, copies, short = unpack(blob[1:])
-            out.append(_rows("doc", pa.array(ids, mask=absent.astype(bool)), sizes))
+            ids, absent, sizes, lengths, words, copies, short = unpack(blob[1:])
+            out.append(_rows("doc", pa.array(ids, mask=absent.astype(bool)), sizes, sketch=(lengths, words)))
             out += [_rows("copy", copies[::2], copies[1::2]), _rows("short", short)]
         else:
             low, high, local, who = unpack(blob[1:])
@@ -233,6 +256,38 @@ def _linked(t: float, n: int):
     return run
 
 
+def within_budget(differ: Column, t: float) -> Column:
+    """Whether sets of na and nb shingles that differ in at least `differ` can be within t."""
+    whole = round(10_000 * t)
+    return differ * (10_000 + whole) <= (F.col("na") + F.col("nb")) * (10_000 - whole)
+
+
+def possible(pairs: DataFrame, t: float) -> DataFrame:
+    """Of rows (a, b, na, nb, first sketch words a0.. and b0..) the distinct (a, b) that sizes and first words allow."""
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+    size = F.least("na", "nb") * 10_000 >= F.greatest("na", "nb") * round(10_000 * t)
+    return pairs.filter(size & within_budget(differ, t)).select("a", "b").distinct()
+
+
+def sketched(sketches: DataFrame, side: str, *more) -> DataFrame:
+    """(id, n, first words) with a side's column names, after more columns."""
+    return sketches.select(*more, F.col("id").alias(side), F.col("n").alias(f"n{side}"), *[F.element_at("sketch", i + 1).alias(f"{side}{i}") for i in range(SKETCH)])
+
+
+def bounded(pairs: DataFrame, sketches: DataFrame, t: float) -> DataFrame:
+    """The pairs (a, b) that sizes and whole sketches allow."""
+    full = F.when(F.size("sketch") > SKETCH, F.slice("sketch", F.lit(SKETCH + 1), F.size("sketch"))).otherwise(F.col("sketch"))
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), full.alias(f"s{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    size = F.least("na", "nb") * 10_000 >= F.greatest("na", "nb") * round(10_000 * t)
+    n = F.least(F.size("sa"), F.size("sb"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    # sizes within t of each other: one sketch is at most twice the other
+    fold = lambda s: F.when(F.size(s) > n, F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, n + 1, n), xor)).otherwise(F.col(s))
+    differ = F.aggregate(F.zip_with(fold("sa"), fold("sb"), xor), F.lit(0), lambda total, x: total + F.bit_count(x))
+    return both.filter(size).filter(within_budget(differ, t)).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, t: float, n: int) -> DataFrame:
     """The distinct pairs (a, b) of ids whose texts' sets are within t."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -253,9 +308,10 @@ def jaccard_components(docs: DataFrame, t: float = 0.75, n: int = 5, id_col: str
             break
         widen |= {k: 4 * widen.get(k, 1) for k in short}
     kind = lambda k: found.filter(F.col("kind") == k)
-    pairs = staged(kind("pair").select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sketches = kind("doc").select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch")
     lists = staged(kind("list").select("members").distinct().withColumn("list", F.xxhash64("members")).mapInArrow(_members, "list long, id long"), "lists")
+    pairs = staged(bounded(kind("pair").select("a", "b").distinct(), sketches, t), "pairs")
+    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(lists.select("id")).distinct()
     texts = staged(rows.join(nodes, "id", "left_semi"), "candidate-texts")
     edges = kind("copy").select("a", "b")
     best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -265,9 +321,10 @@ def jaccard_components(docs: DataFrame, t: float = 0.75, n: int = 5, id_col: str
     within = connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     homes = lists.join(within.select(F.col("node").alias("id"), "component"), "id", "left").select("list", "id", F.coalesce("component", "id").alias("home"))
     split = homes.groupBy("list").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("list")
-    homes = staged(homes.join(split, "list", "left_semi"), "open-lists")
-    x, y = (homes.select("list", F.col("id").alias(i), F.col("home").alias(f"home_{i}")) for i in "ab")
-    rest = x.join(y, "list").filter("a < b AND home_a <> home_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    homes = staged(homes.join(split, "list", "left_semi").join(sketches, "id"), "open-lists")
+    x, y = (sketched(homes, i, "list", F.col("home").alias(f"home_{i}")) for i in "ab")
+    rest = possible(x.join(y, "list").filter("a < b AND home_a <> home_b"), t).join(pairs, ["a", "b"], "left_anti")
+    rest = staged(bounded(rest, sketches, t), "open-pairs")
     more = verified(rest, texts, t, n)
     if not more.isEmpty():
         within = connected(edges.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))

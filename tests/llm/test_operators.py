@@ -313,6 +313,14 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_many_cells_stays_in_spark(spark):
+    rows = [(i, "w " * (1 + i % 7), "en" if i % 3 else "de", f"s{i % 4}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"s0": 0.7, "s1": 0.1, "s2": 0.1, "s3": 0.1}}
+    a, b = ({r["doc_id"]: (r["_factor"], r["_prob"]) for r in mixing.mix(docs, targets=targets, most=m).collect()} for m in (100, 1))
+    assert all(a[i] == pytest.approx(b[i], rel=1e-6) for i in range(80))
+
+
 def test_cap_scale():
     t, f = np.array([10.0, 10.0, 80.0]), np.array([10.0, 1.0, 0.5])
     k = mixing.cap_scale(t, f, 0.3)
@@ -367,8 +375,18 @@ def test_signatures_miss_no_link():
             if 4 * both >= 3 * (len(r) + len(s) - both):
                 (a, short_a), (b, short_b) = ngram_join.signatures(r, bands), ngram_join.signatures(s, bands)
                 assert short_a or short_b or len(np.intersect1d(np.concatenate(a), np.concatenate(b)))
-                differ = np.bitwise_count(ngram_join.parities(r).view(np.uint64) ^ ngram_join.parities(s).view(np.uint64)).sum()
-                assert differ <= (len(r) + len(s)) // 7
+                x, y = ngram_join.parities(r), ngram_join.parities(s)
+                assert np.bitwise_count((x[:16] ^ y[:16]).view(np.uint64)).sum() <= (len(r) + len(s)) // 7
+
+
+def test_sketches_fold(spark):
+    rng = np.random.default_rng(0)
+    r = np.unique(rng.integers(0, 1 << 63, 1100, dtype=np.uint64))  # 4,096 parts; without a tenth of it 2,048
+    others = {2: r[100:], 3: r[:900], 4: np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)), 5: r[:600], 6: r}
+    rows = [(i, len(s), ngram_join.parities(s).tolist()) for i, s in [(1, r), *others.items()]]
+    sketches = spark.createDataFrame(rows, "id long, n long, sketch array<bigint>")
+    pairs = spark.createDataFrame([(1, i) for i in others], "a long, b long")
+    assert {x["b"] for x in ngram_join.bounded(pairs, sketches, 0.75).collect()} == {2, 3, 6}
 
 
 def test_short_bands_run_again():
