@@ -44,12 +44,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_order
     return both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").select("_row.*", F.col("_last.v").alias(value))
 
 
+def range_cells(ranges: DataFrame, width: int) -> DataFrame:
+    """The ranges cut at cells of `width`: (_cell, lo, hi, ordinal), of equal pieces the one of the last ordinal, as no other can own a value."""
+    cells = ranges.filter("lo < hi").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    lo, hi = F.greatest("lo", F.col("_cell") * width), F.least("hi", (F.col("_cell") + 1) * width)
+    return cells.groupBy("_cell", lo.alias("lo"), hi.alias("hi")).agg(F.max("ordinal").alias("ordinal"))
+
+
 def range_owner(values: DataFrame, value: str, ranges: DataFrame, width: int) -> DataFrame:
     """values with owner: of the half-open ranges (lo, hi, ordinal) that hold value, the one of the last ordinal.
 
     Ranges are cut into cells of `width`, so the join is an equality of cells.
     """
-    cells = ranges.filter("lo < hi").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    cells = range_cells(ranges, width)
     rows = values.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cell", F.floor(F.col(value) / width))
     hits = rows.select("_row", "_cell", F.col(value).alias("_v")).join(cells, "_cell").filter("_v >= lo AND _v < hi").groupBy("_row").agg(F.max("ordinal").alias("owner"))
     return rows.join(hits, "_row", "left").drop("_row", "_cell")

@@ -56,6 +56,13 @@ def entry_list_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.union_sources({"b.pak": cat.filter("doc_id % 3 = 0").select("path", "size"), "a.pak": cat.filter("doc_id % 2 = 0").select("path", "size")})
 
 
+@query(f"WITH {CATALOG} SELECT 'a.pak' AS source, path, size FROM cat WHERE doc_id % 2 = 0 UNION ALL SELECT 'b.pak', path, size FROM cat WHERE doc_id % 2 <> 0 OR doc_id % 3 = 0")
+def entry_list_multi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As entry_list_multi, with every document in an archive and some in both."""
+    cat = catalog(table(spark, sf_dir, "documents"))
+    return entries.union_sources({"b.pak": cat.filter("doc_id % 2 <> 0 OR doc_id % 3 = 0").select("path", "size"), "a.pak": cat.filter("doc_id % 2 = 0").select("path", "size")})
+
+
 @query(f"WITH {CATALOG} SELECT {CLASS} AS class, count(*) AS n, sum(size)::BIGINT AS bytes FROM cat GROUP BY 1")
 def entry_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = catalog(table(spark, sf_dir, "documents"))
@@ -126,6 +133,17 @@ def range_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.range_owner(values, "v", ranges, 1000).select("l_orderkey", "l_linenumber", "owner")
 
 
+@query("""WITH r AS (SELECT p_partkey % 40 * 2000 AS lo, p_partkey % 40 * 2000 + 500 + p_size * 100 AS hi, p_partkey AS ordinal FROM part),
+m AS (SELECT lo, hi, max(ordinal) AS ordinal FROM r GROUP BY lo, hi)
+SELECT l_orderkey, l_linenumber, max(ordinal) AS owner FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT AS v FROM lineitem) LEFT JOIN m ON v >= lo AND v < hi GROUP BY l_orderkey, l_linenumber, v""")
+def range_owner_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As range_owner, over the ranges of the whole of part."""
+    lo = F.col("p_partkey") % 40 * 2000
+    ranges = table(spark, sf_dir, "part").select(lo.alias("lo"), (lo + 500 + F.col("p_size") * 100).alias("hi"), F.col("p_partkey").alias("ordinal"))
+    values = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("v"))
+    return lookups.range_owner(values, "v", ranges, 1000).select("l_orderkey", "l_linenumber", "owner")
+
+
 @query("""SELECT s_nationkey AS key, min(s_name) AS name, 'local' AS layer FROM supplier GROUP BY 1
 UNION ALL SELECT c_nationkey, min_by(c_name, c_custkey), 'registry' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY 1""")
 def priority_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +160,15 @@ def hash_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.cross_check(docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha1("text").alias("h")), docs.filter("doc_id % 5 <> 0").select("doc_id", bad.alias("h")), "doc_id", "h")
 
 
+@query("""WITH l AS (SELECT doc_id, sha1(text) AS h FROM documents WHERE doc_id % 7 <> 0), r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN sha1(text || '!') ELSE sha1(text) END AS h FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0)
+SELECT * FROM (SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_left' WHEN r.doc_id IS NULL THEN 'missing_right' WHEN l.h <> r.h THEN 'mismatch' END AS fault FROM l FULL JOIN r ON l.doc_id = r.doc_id) WHERE fault IS NOT NULL""")
+def hash_crosscheck_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As hash_crosscheck, with every document on one side at least."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bad = F.when(F.col("doc_id") % 11 == 0, F.sha1(F.concat("text", F.lit("!")))).otherwise(F.sha1("text"))
+    return lookups.cross_check(docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha1("text").alias("h")), docs.filter("doc_id % 5 <> 0 OR doc_id % 7 = 0").select("doc_id", bad.alias("h")), "doc_id", "h")
+
+
 @query("""WITH e AS (SELECT source, text, CASE doc_id % 4 WHEN 0 THEN repeat('0', 40) WHEN 1 THEN sha1(text || '!') ELSE sha1(text) END AS claimed, source IN ('src0', 'src1') AS claims FROM documents),
 o AS (SELECT source, CASE WHEN claimed = repeat('0', 40) AND claims THEN 'stripped' WHEN claimed = repeat('0', 40) THEN 'skipped' WHEN sha1(text) = claimed THEN 'verified' ELSE 'mismatch' END AS outcome FROM e)
 SELECT source, count(*) FILTER (outcome = 'verified') AS verified, count(*) FILTER (outcome = 'mismatch') AS mismatch, count(*) FILTER (outcome = 'stripped') AS stripped, count(*) FILTER (outcome = 'skipped') AS skipped, bool_and(outcome = 'verified') AS fully_verified FROM o GROUP BY source""")

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from lodestone.operators import lookups
 from lodestone.plans import catalog
 from tests.oracle import connect, same
 
@@ -25,3 +26,29 @@ def test_entry_points(spark):
 def test_search_reaches_the_scan(spark, sf_dir):
     plan = catalog.QUERIES["entry_classify"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_every_part_owns_ranges(spark):
+    sf = "/root/testdata/sf0.01"
+    ranges = [(r.p_partkey % 40 * 2000, r.p_partkey % 40 * 2000 + 500 + r.p_size * 100, r.p_partkey) for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size").collect()]
+    best = {}
+    for lo, hi, o in ranges:
+        for v in range(lo, hi):
+            best[v] = max(o, best.get(v, o))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "floor(l_extendedprice) AS v").collect()
+    want = sorted(((r.l_orderkey, r.l_linenumber, best.get(r.v)) for r in lines), key=repr)
+    assert sorted((tuple(r) for r in catalog.QUERIES["range_owner_all"](spark, sf).collect()), key=repr) == want
+    assert max(o or 0 for _, _, o in want) >= 200
+
+
+def test_range_cells_keep_one_of_equal_pieces(spark):
+    rows = [(0, 3000 + i % 3 * 10, i) for i in range(300)]
+    cells = lookups.range_cells(spark.createDataFrame(rows, "lo long, hi long, ordinal long"), 1000)
+    assert sorted(tuple(r) for r in cells.collect()) == [(0, 0, 1000, 299), (1, 1000, 2000, 299), (2, 2000, 3000, 299), (3, 3000, 3010, 298), (3, 3000, 3020, 299)]
+
+
+def test_slices_hold_every_document(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert catalog.QUERIES["entry_list_multi_all"](spark, sf_dir).select("path").distinct().count() == docs
+    faults = {r.doc_id: r.fault for r in catalog.QUERIES["hash_crosscheck_all"](spark, sf_dir).collect()}
+    assert [faults.get(i) for i in (35, 70)] == ["missing_left"] * 2
