@@ -109,15 +109,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n_tokens").alias("n_tokens"), F.round("_factor", 6).alias("factor"), F.round("_prob", 6).alias("prob"), F.col("_sampled").alias("sampled"))
 
 
-def _raking_sql() -> str:
+@query
+def op9_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_mixing, with documents repeated where a cell needs more than all of them."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), way="copies")
+    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n_tokens").alias("n_tokens"), F.round("_factor", 6).alias("factor"), F.round("_prob", 6).alias("expected"), F.col("_copies").alias("copies"))
+
+
+def _raking_sql(rounds: int = mixing.ROUNDS, copies: bool = False) -> str:
     steps = ["w0 AS (SELECT *, tokens / (SELECT sum(tokens) FROM cells)::DOUBLE AS w FROM cells)"]
     n = 0
-    for _ in range(mixing.ROUNDS):
+    for _ in range(rounds):
         for d in mixing.DIMS:
             steps.append(f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN sum(w) OVER p > 0 THEN w * t_{d}.share / sum(w) OVER p ELSE 0 END AS w FROM w{n} JOIN t_{d} USING ({d}) WINDOW p AS (PARTITION BY {d}))")
             n += 1
     targets = ", ".join(f"r_{d} AS (SELECT {d}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens)::DOUBLE, 0.5) ELSE 0 END AS s FROM cells GROUP BY {d}), t_{d} AS (SELECT {d}, s / sum(s) OVER () AS share FROM r_{d})" for d in mixing.DIMS)
-    return rf"""
+    head = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang,
          CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'shouting'
@@ -127,7 +134,14 @@ WITH d AS (
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
 {targets},
 {", ".join(steps)},
-f AS (SELECT *, CASE WHEN tokens > 0 THEN w * (SELECT sum(tokens) FROM cells) / tokens ELSE 0 END AS factor FROM w{n}),
+f AS (SELECT *, CASE WHEN tokens > 0 THEN w * (SELECT sum(tokens) FROM cells) / tokens ELSE 0 END AS factor FROM w{n})"""
+    if copies:
+        return rf"""{head}
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(factor, 6) AS factor, round(0.5 * factor, 6) AS expected,
+       (floor(0.5 * factor) + (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5 * factor - floor(0.5 * factor))::INTEGER)::BIGINT AS copies
+FROM d JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic
+"""
+    return rf"""{head},
 o AS (
   SELECT *, 0.5 * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY factor DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
          sum(tokens * factor) OVER (ORDER BY factor DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass,
@@ -141,6 +155,8 @@ FROM d JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic,
 
 
 ORACLE_SQL["op9_mixing"] = _raking_sql()
+#: Rounds after which raking no longer moves at the given sizes, as SQL does not look at the residual.
+ORACLE_SQL["op9_mixing_copies"] = _raking_sql(40, copies=True)
 
 
 def tokenizer(name: str) -> str:

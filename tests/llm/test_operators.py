@@ -321,6 +321,36 @@ def test_mixing_of_many_cells_stays_in_spark(spark):
     assert all(a[i] == pytest.approx(b[i], rel=1e-6) for i in range(80))
 
 
+@pytest.mark.parametrize(("way", "most"), [("copies", 1000), ("bounded", 1000), ("copies", 1), ("bounded", 1)])
+def test_mixing_meets_shares_where_cells_cap(spark, way, most):
+    rows = [(i, "!! w w" if i < 3 else "w " * (1 + i % 5), "de" if i % 7 == 0 else "en", f"s{i % 3}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shares = mixing.reached(mixing.mix(docs, alpha=0.5, rate=0.5), alpha=0.5).collect()
+    assert max(abs(r["expected"] - r["target"]) for r in shares) > 0.05  # the registered parameters, capped
+    got = mixing.mix(docs, alpha=0.5, rate=0.5, way=way, most=most)
+    shares = mixing.reached(got, alpha=0.5).collect()
+    assert all(r["expected"] == pytest.approx(r["target"], abs=1e-6) for r in shares)
+    if way == "copies":
+        assert shares[0]["rate"] == pytest.approx(0.5)
+        assert mixing.sample(docs, way=way).count() == got.agg(F.sum("_copies")).first()[0]
+        assert got.filter("abs(_copies - _prob) >= 1").count() == 0
+    else:
+        assert got.agg(F.max("_prob")).first()[0] <= 1
+        assert 0 < shares[0]["rate"] < 0.5
+        if most > 1:  # the rarest category is taken whole
+            assert got.filter("_topic = 'shouting'").agg(F.min("_prob")).first()[0] > 0.99
+
+
+def test_bounded_rate_is_the_largest():
+    t, codes = np.array([10.0, 90.0, 50.0, 50.0]), [np.array([0, 1, 1, 1]), np.array([0, 0, 1, 1])]
+    shares = [np.array([0.2, 0.8]), np.array([0.5, 0.5])]
+    w = mixing.rake(t, codes, shares, mixing.MOST_ROUNDS, mixing.TOL)
+    assert (t * mixing.bounded_prob(t, w, codes, shares, 0.5)).sum() == pytest.approx(50, rel=2e-3)
+    assert (t * mixing.bounded_prob(t, w, codes, shares, 0.1)).sum() == pytest.approx(20, rel=1e-6)
+    clash = [np.array([0.2, 0.8]), np.array([0.1, 0.9])]  # the first cell is to have 0.2 of a marginal's 0.1
+    assert mixing.residual(mixing.rake(t, codes, clash, 200, mixing.TOL), codes, clash) > mixing.LEFT
+
+
 def test_cap_scale():
     t, f = np.array([10.0, 10.0, 80.0]), np.array([10.0, 1.0, 0.5])
     k = mixing.cap_scale(t, f, 0.3)
