@@ -241,12 +241,12 @@ def _linked(t: float, n: int):
     """Keeps the rows (a, b, text_a, text_b) whose sets are within t."""
 
     def run(batches):
-        held: tuple[int, np.ndarray] = (0, np.zeros(0, np.uint64))
+        held: tuple[tuple[int, str] | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
             for a, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
-                if held[0] != a or not len(held[1]):
-                    held = (a, shingles(text_a, n))
+                if held[0] != (a, text_a):  # rows that share an id may differ in their texts
+                    held = ((a, text_a), shingles(text_a, n))
                 s = shingles(text_b, n)
                 both = len(np.intersect1d(held[1], s, assume_unique=True))
                 # t as a fraction of 10,000, so that the comparison is of integers

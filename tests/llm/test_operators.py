@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,6 +394,18 @@ def test_ngram_join(spark, odd_rows):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_every_text_of_an_id_links(spark):
+    rng = random.Random(9)
+    near = [sentence(rng, 40) for _ in range(4)]
+    rows = [(i, near[i % 4]) for i in range(4)]
+    rows += [(i % 4, sentence(rng, 40)) for i in range(4)] + [(10 + i, f"{near[i]} end") for i in range(4)]
+    for order in (rows, rows[::-1]):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(frame(spark, order), buckets=3).collect()}
+        assert all(got[10 + i] == i for i in range(4))
+    pairs = pa.RecordBatch.from_pylist([{"a": 1, "b": 2, "text_a": x, "text_b": f"{near[0]} end"} for x in (near[1], near[0], near[1])])
+    assert [b.num_rows for b in ngram_join._linked(0.75, 5)([pairs])] == [1]
+
+
 def test_signatures_miss_no_link():
     rng = np.random.default_rng(0)
     bands = ngram_join.Bands(0.75, {})
