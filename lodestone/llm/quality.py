@@ -95,11 +95,14 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)  # the bias stays at the labels' share: a text of unknown features gets that
     bias[1] = np.log(share / (1 - share))
-    # the sample's features lie in two flat arrays, so that the driver gives their memory back
-    got = [(f.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)) for f, n in (text_features(t, buckets) for t in texts)]
-    ends = np.cumsum([0, *(len(f) for f, _ in got)])
-    flat, parts = np.concatenate([f for f, _ in got]), np.concatenate([p for _, p in got])
-    del got
+    # the sample's features lie in two flat arrays that grow in place, so that the driver holds them once
+    flat, parts, ends = bytearray(), bytearray(), [0]
+    for text in texts:
+        f, n = text_features(text, buckets)
+        flat += f.astype(np.int32).tobytes()
+        parts += (n / max(n.sum(), 1)).astype(np.float32).tobytes()
+        ends.append(ends[-1] + len(f))
+    flat, parts = np.frombuffer(flat, np.int32), np.frombuffer(parts, np.float32)
     steps, done = epochs * len(y), 0
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -162,7 +165,7 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int = 2000, label: str = "quality", **kw) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int = 3000, label: str = "quality", **kw) -> Model:
     """Train on about sample_rows labelled rows for which learn_from (over doc_id) holds."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label")).filter(learn_from)
     n = known.count()

@@ -226,6 +226,14 @@ def test_quality(spark):
     assert quality.scored(docs.limit(0), model).count() == 0
 
 
+def test_quality_learns_from_the_whole_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, **kw: seen.append(len(texts)))
+    docs = spark.range(2900).selectExpr("id AS doc_id", "'a b' AS text")
+    quality.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS quality"), F.lit(True))
+    assert seen == [2900]
+
+
 # language model
 
 
