@@ -23,10 +23,13 @@ def pivot_first(cells: DataFrame, row: str, name: str, value: str, order: Sequen
     return cells.groupBy(row).agg(*firsts)
 
 
-def joined_parts(parts: DataFrame, key: str, order: str, text: str, size: int, sep: str = "") -> DataFrame:
-    """Each key's texts, cut to size, end to end by order; the total length and the parts' number."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.substring(F.col(text), 1, size).alias("t"))))
-    return parts.groupBy(key).agg(items.alias("_i")).select(key, F.array_join(F.transform("_i", lambda x: x["t"]), sep).alias("joined"), F.size("_i").cast("long").alias("n_parts"))
+def joined_parts(parts: DataFrame, key: str, order: str, text: str, size: int | str, sep: str = "") -> DataFrame:
+    """Each key's texts, cut to size (a number, or the column of each part's own), end to end by order; the parts' number and the saturating sum of sizes, each at most its text's length and at least 0."""
+    n = F.greatest(F.coalesce(F.col(size) if isinstance(size, str) else F.lit(size), F.lit(0)).cast("long"), F.lit(0))
+    n = F.least(n, F.coalesce(F.length(text), F.lit(0))).cast("int")
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.substring(F.col(text), F.lit(1), n).alias("t"))))
+    length = F.coalesce(F.try_sum(n.cast("long")), F.lit(2**63 - 1))
+    return parts.groupBy(key).agg(items.alias("_i"), length.alias("length")).select(key, F.array_join(F.transform("_i", lambda x: x["t"]), sep).alias("joined"), F.size("_i").cast("long").alias("n_parts"), "length")
 
 
 def even_buckets(samples: DataFrame, key: str, order: Sequence[str], value: str, columns: int) -> DataFrame:

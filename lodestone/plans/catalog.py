@@ -215,7 +215,16 @@ def locres_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, string_agg(left(text, 40), '' ORDER BY turn, left(text, 40)) AS joined, count(*) AS n_parts FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
 def chunk_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.joined_parts(table(spark, sf_dir, "conversations").filter("text IS NOT NULL"), "conv_id", "turn", "text", 40)
+    return shapes.joined_parts(table(spark, sf_dir, "conversations").filter("text IS NOT NULL"), "conv_id", "turn", "text", 40).drop("length")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text, CASE WHEN turn % 5 = 4 THEN length(text) // 2 WHEN turn % 5 = 3 THEN length(text) + 9 ELSE length(text) END AS size FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, string_agg(left(text, size), '' ORDER BY turn, left(text, size)) AS joined, count(*) AS n_parts, sum(least(size, length(text)))::BIGINT AS length FROM p GROUP BY conv_id""")
+def chunk_assemble_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As chunk_assemble, each text cut to its own declared size, which mostly keeps it whole."""
+    n = F.length("text")
+    size = F.when(F.col("turn") % 5 == 4, F.floor(n / 2)).when(F.col("turn") % 5 == 3, n + 9).otherwise(n)
+    return shapes.joined_parts(table(spark, sf_dir, "conversations").filter("text IS NOT NULL").withColumn("size", size), "conv_id", "turn", "text", "size")
 
 
 @query("""SELECT user_id, (r * least(n, 16)) // n AS bucket, min(value) AS low, max(value) AS high FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY ALL""")

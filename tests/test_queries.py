@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from lodestone.operators import lookups
+from lodestone.operators import lookups, shapes
 from lodestone.plans import catalog
 from tests.oracle import connect, same
 
@@ -52,3 +52,9 @@ def test_slices_hold_every_document(spark, sf_dir):
     assert catalog.QUERIES["entry_list_multi_all"](spark, sf_dir).select("path").distinct().count() == docs
     faults = {r.doc_id: r.fault for r in catalog.QUERIES["hash_crosscheck_all"](spark, sf_dir).collect()}
     assert [faults.get(i) for i in (35, 70)] == ["missing_left"] * 2
+
+
+def test_parts_have_their_own_sizes(spark):
+    rows = [(1, 2, "world", 9), (1, 1, "hello", 4), (1, 3, "x", -1), (1, 4, "y", None), (2, 1, "\u00e9\u00e8z", 2)]
+    got = shapes.joined_parts(spark.createDataFrame(rows, "k long, o long, t string, n long"), "k", "o", "t", "n").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "hellworld", 4, 9), (2, "\u00e9\u00e8", 1, 2)]
