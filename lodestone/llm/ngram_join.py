@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .postings import bucket_count, chunked, narrow, pack, unpack
+from .postings import bucket_count, chunked, home_bucket, narrow, pack, unpack
 from .scratch import staged
 
 #: Sets up to this size publish one-deletion neighbourhoods.
@@ -194,7 +194,7 @@ def _publish(bands: Bands, n: int, buckets: int):
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(chunk % buckets, b"B" + pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array(sizes, np.int64), np.array([len(x) for x in sketches], np.int64), np.concatenate([np.zeros(0, np.int64), *sketches]), np.array(copies, np.int64).reshape(-1), np.array(sorted(short), np.int64)))]
+            out = [(home_bucket(chunk, buckets), b"B" + pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array(sizes, np.int64), np.array([len(x) for x in sketches], np.int64), np.concatenate([np.zeros(0, np.int64), *sketches]), np.array(copies, np.int64).reshape(-1), np.array(sorted(short), np.int64)))]
             for b in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[b] : cuts[b + 1]]
                 who, local = np.unique(owner[mine], return_inverse=True)

@@ -86,6 +86,13 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def home_bucket(chunk: int, buckets: int) -> int:
+    """The bucket of a chunk's own row: a hash of partition and counter, as chunk % buckets drops the partition where buckets is a power of two."""
+    h = (chunk ^ chunk >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return (h ^ h >> 31) % buckets
+
+
 def two_hops(docs: DataFrame, buckets: int, encode: Callable, solve: Callable, merge: Callable, schema: str, chunk_bytes: int = CHUNK) -> DataFrame:
     """docs (id, text) through encode, solve and merge.
 
@@ -97,7 +104,7 @@ def two_hops(docs: DataFrame, buckets: int, encode: Callable, solve: Callable, m
     def send(batches):
         for key, held in chunked(batches, chunk_bytes):
             base, parts = encode(held, buckets)
-            rows = [(key % buckets, key, b"B" + base), *((b, key, b"P" + x) for b, x in sorted(parts.items()))]
+            rows = [(home_bucket(key, buckets), key, b"B" + base), *((b, key, b"P" + x) for b, x in sorted(parts.items()))]
             yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": c, "blob": x} for b, c, x in rows], pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())]))
 
     def at_bucket(t: pa.Table) -> pa.Table:

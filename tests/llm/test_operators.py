@@ -414,6 +414,15 @@ def test_every_text_of_an_id_links(spark):
     assert [b.num_rows for b in ngram_join._linked(0.75, 5)([pairs])] == [1]
 
 
+def test_chunks_spread_over_buckets():
+    from lodestone.llm.postings import home_bucket
+
+    for buckets in (8, 32, 960, 1024):
+        homes = Counter(home_bucket(p << 32 | n, buckets) for p in range(300) for n in range(2))
+        assert len(homes) >= min(buckets, 600) * 0.6
+        assert max(homes.values()) <= 600 / buckets + 5 * (600 / buckets) ** 0.5 + 4
+
+
 def test_signatures_miss_no_link():
     rng = np.random.default_rng(0)
     bands = ngram_join.Bands(0.75, {})
