@@ -322,18 +322,37 @@ def test_top_k(spark):
         if i % 4 == 0:
             best = sorted((-sum(a * b for a, b in zip(q, e, strict=True)), j) for j, e in own if j != i)[:10]
             want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    got = topk.top_k(df, F.col("vec_id") % 4 == 0, 10, candidate_block=90, query_block=30)
+    got = topk.top_k(df, F.col("vec_id") % 4 == 0, 10, block_rows=90, query_block=30)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 4 == 0).count() == 0
     assert topk.top_k(df.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
-def test_threshold_stops_early():
-    ids, rows = np.arange(4000), np.zeros((4000, 2), np.int64)
-    rows[:, 0], rows[:, 1] = np.arange(4000) * 1000, np.random.default_rng(0).integers(0, 5, 4000)
-    got, scores = topk.threshold_top_k(ids, rows, np.argsort(-rows.T, axis=1, kind="stable"), np.array([1, 1]), -1, 3)
-    assert got.tolist() == [3999, 3998, 3997]
-    assert scores.tolist() == (rows.sum(axis=1)[[3999, 3998, 3997]]).tolist()
+def test_threshold_stops_early(spark):
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(3000, 16)) * 0.5 ** np.arange(16)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    scored = spark.sparkContext.accumulator(0)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, block_rows=500, scored=scored).collect()
+    whole = np.floor(rows * 1024).astype(np.int64)
+    for i in range(0, 3000, 50):
+        s = whole @ whole[i]
+        best = sorted((-x, j) for j, x in enumerate(s.tolist()) if j != i)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == best
+    assert 0 < scored.value < 0.3 * 60 * 3000
+
+
+def test_walk_is_exact():
+    rng = np.random.default_rng(3)
+    for n, dims, top in [(1, 3, 5), (40, 3, 2), (900, 4, 50), (900, 2, 1 << 30), (500, 6, 3)]:
+        rows = rng.integers(-top, top + 1, (n, dims)) // (1 << rng.integers(0, 4, dims))
+        asked = np.concatenate([rows[:20], np.zeros((1, dims), np.int64)])
+        ids, own = rng.permutation(n), np.append(np.arange(len(asked) - 1) * 3, -1)
+        block = topk.Queries(own, asked, 4, top)
+        topk.walk(block, ids, rows, first=2)
+        for q, (i, x) in enumerate(zip(own, asked, strict=True)):
+            want = sorted((-int(s), j) for s, j in zip(rows @ x, ids.tolist(), strict=True) if j != i)[:4]
+            assert [(-int(s), j) for s, j, o in zip(block.scores, block.found.tolist(), block.query, strict=True) if o == q] == want
 
 
 # mixing
