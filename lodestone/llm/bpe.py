@@ -14,8 +14,8 @@ bytes by one gather. The decimal form of ids for digests is made in the same way
 
 Edge cases: null counts as empty, which has no ids; special strings inside texts are special
 tokens, as in the library's default; bytes that are no UTF-8 decode to U+FFFD; very long
-pre-tokens take linear time; repeated rows and ids are rows of their own; an empty table gives
-no rows.
+pre-tokens and texts take linear time; repeated rows and ids are rows of their own; other columns
+are not read by round_trips, and encoded keeps them whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .names import free
 from .token_counts import byte_letters
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -198,11 +200,9 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with ids array<int> added (named ids, ids_ and so on, as is free)."""
+    """docs with ids array<int> added as the last column (named ids, ids_ and so on, as is free)."""
     names = docs.columns
-    name = "ids"
-    while name in names:
-        name += "_"
+    name = free("ids", names)
     at = names.index(text_col)
 
     def run(batches):
@@ -216,4 +216,4 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, lists], [*names, name])
                 first += len(texts)
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} array<int>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))

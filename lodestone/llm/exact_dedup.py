@@ -7,7 +7,8 @@ without shuffling it, and those are appended.
 
 Edge cases: a null text counts as empty; a null id loses every tie and is reported as it is;
 rows that repeat id and text keep exactly one of them; an empty batch returns no rows and
-appends nothing; other columns of the batch are not touched or needed.
+appends nothing; very long texts cost their digest and nothing else; other columns of the batch are
+not needed, and survivors keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ class DigestIndex:
 
     def survivors(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The rows of docs that stay, with docs' own columns."""
-        keyed = docs.select(docs[id_col].cast("long").alias("_id"), digest(docs[text_col]).alias("digest"), n_chars(docs[text_col]).alias("_n"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+        keyed = docs.select(docs[id_col].cast("long").alias("_id"), digest(docs[text_col]).alias("digest"), n_chars(docs[text_col]).alias("_n"), F.struct("*").alias("_doc"))
         prints = staged(keyed.select(F.col("_id").alias("doc_id"), "digest", F.col("_n").alias("n_chars"), F.lit(0).cast("long").alias("row")), "digests")
         best = keyed.join(self.verdicts(prints), "digest").filter("mine AND _id <=> keep_id AND _n = keep_chars")
         # rows that repeat id and text: one of them, by a grouping that only such rows enter

@@ -18,7 +18,8 @@ The last two rake until what is left of the marginals is TOL, and warn if it sta
 Edge cases: null or unknown categories count as the category "<null>"; a null text has no tokens;
 cells without tokens get factor 0 and none of their documents stay; categories without a target
 share the data's own weight; an empty table gives no rows; rows with one id share one draw, and a
-null id draws as the text "null".
+null id draws as the text "null"; very long texts weigh what they hold, so a single one may be much of
+a cell; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -200,20 +201,19 @@ def draw(doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, topic: Column | None = None, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None, most: int = MAX_CELLS, way: str = "capped") -> DataFrame:
-    """docs' columns with _source, _lang, _topic, _n_tokens, _factor, _prob, _sampled and _copies (0 or 1 except by "copies")."""
+    """doc (a struct of docs' columns), source, lang, topic, n_tokens, factor, prob, sampled and copies (0 or 1 except by "copies")."""
     known = lambda c: F.coalesce(c, F.lit("<null>"))
     topic = form_topic(docs["text"]) if topic is None else topic
-    rows = docs.select(*[docs[c] for c in docs.columns], n_words(docs["text"]).alias("_n_tokens"), known(docs["source"]).alias("_source"), known(docs["lang"]).alias("_lang"), known(topic).alias("_topic"))
-    cells = staged(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_n_tokens").alias("tokens")), "cells")
-    weights = cell_weights(cells, alpha, rate, targets, most=most, way=way).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("factor").alias("_factor"), F.col("prob").alias("_prob"))
-    out = rows.join(weights, [f"_{d}" for d in DIMS]).withColumn("_sampled", draw(F.col("doc_id")) < F.col("_prob"))
-    whole = F.floor("_prob")
-    return out.withColumn("_copies", whole + (draw(F.col("doc_id")) < F.col("_prob") - whole).cast("long"))
+    rows = docs.select(F.struct("*").alias("doc"), draw(docs["doc_id"]).alias("draw"), n_words(docs["text"]).alias("n_tokens"), known(docs["source"]).alias("source"), known(docs["lang"]).alias("lang"), known(topic).alias("topic"))
+    cells = staged(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    out = rows.join(cell_weights(cells, alpha, rate, targets, most=most, way=way), list(DIMS))
+    whole = F.floor("prob")
+    return out.select("doc", *DIMS, "n_tokens", "factor", "prob", (F.col("draw") < F.col("prob")).alias("sampled"), (whole + (F.col("draw") < F.col("prob") - whole).cast("long")).alias("copies"))
 
 
 def reached(mixed: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Of mix's rows, by marginal and category: own, target, expected and drawn shares of tokens, and the expected tokens over all tokens."""
-    cells = mixed.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_n_tokens").alias("tokens"), F.sum(F.col("_n_tokens") * F.col("_prob")).alias("e"), F.sum(F.col("_n_tokens") * F.col("_copies")).alias("s"))
+    cells = mixed.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("prob")).alias("e"), F.sum(F.col("n_tokens") * F.col("copies")).alias("s"))
     cells = staged(cells, "reached")
     total, e, s = (x or 1 for x in cells.agg(F.sum("tokens"), F.sum("e"), F.sum("s")).first())
     out = None
@@ -226,7 +226,7 @@ def reached(mixed: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, f
 
 def sample(docs: DataFrame, way: str = "bounded", **kw) -> DataFrame:
     """The sampled documents, with docs' own columns only; by "copies" each as often as it counts."""
-    out = mix(docs, way=way, **kw).filter("_copies > 0")
+    out = mix(docs, way=way, **kw).filter("copies > 0")
     if way == "copies":
-        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return out.select(*docs.columns)
+        out = out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select("doc.*")

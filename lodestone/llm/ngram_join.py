@@ -348,5 +348,5 @@ def _members(batches):
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """docs without the rows whose component has a smaller id; rows without an id stay."""
     comps = jaccard_components(docs, **kw)
-    dropped = comps.filter("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    dropped = comps.filter("component_id < doc_id").select(F.col("doc_id").alias("dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["dropped"], "left_anti")

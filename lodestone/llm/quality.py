@@ -10,7 +10,8 @@ of fixed size that goes to the executors, and every whole text is scored where i
 Edge cases: null and empty texts have no features and get the score of the bias alone; without
 labelled rows, or with one class only, that is the share of label 1 (0.5 without rows); a null
 id is never held out and never learned from; of contradicting labels the higher counts; repeated
-rows are scored alike; an empty table gives no rows; other columns are never read.
+rows are scored alike; very long texts are scored whole, by their average like any other; other columns
+are kept and never looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .names import free
 
 SCHEMA = "doc_id long, held_out boolean, score double"
 SIZES = (3, 4, 5)
@@ -180,10 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns with _score."""
+    """docs' columns and the score as the last one (named _score, _score_ and so on, as is free)."""
     spark, names = docs.sparkSession, docs.columns
     sent = spark.sparkContext.broadcast((model.weight, model.bias))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
+    name = free("_score", names)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     text = names.index("text")
 
     def run(batches):
@@ -191,6 +196,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch.column(text).to_pylist()
             parts = [scorer.score(texts[i : i + 256]) for i in range(0, len(texts), 256)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], [*names, name])
 
     return docs.mapInArrow(run, schema)

@@ -106,14 +106,14 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n_tokens").alias("n_tokens"), F.round("_factor", 6).alias("factor"), F.round("_prob", 6).alias("prob"), F.col("_sampled").alias("sampled"))
+    return out.select("doc.doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("prob", 6).alias("prob"), "sampled")
 
 
 @query
 def op9_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As op9_mixing, with documents repeated where a cell needs more than all of them."""
     out = mixing.mix(table(spark, sf_dir, "documents"), way="copies")
-    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n_tokens").alias("n_tokens"), F.round("_factor", 6).alias("factor"), F.round("_prob", 6).alias("expected"), F.col("_copies").alias("copies"))
+    return out.select("doc.doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("prob", 6).alias("expected"), "copies")
 
 
 def _raking_sql(rounds: int = mixing.ROUNDS, copies: bool = False) -> str:

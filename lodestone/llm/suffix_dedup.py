@@ -24,7 +24,8 @@ smallest id travel, so a passage that a third of the documents share sends one f
 
 Edge cases: null counts as empty; documents shorter than `length` keep everything; a null id
 counts as larger than every id; documents that share an id do not cover each other, and are told
-apart by their text; an empty table gives no rows; very long texts are cut like any other.
+apart by their text; an empty table gives no rows; very long texts are cut like any other, a run of
+RUN bytes at a time; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ document) are counted in the chunk, so that no bucket receives postings of every
 
 Edge cases: null and empty texts have no bytes and no tokens; a pre-token without letters the
 vocabulary knows counts as the library counts it; repeated rows and ids are counted row by row;
-a null id is returned as null; an empty table gives no rows.
+a null id is returned as null; a very long text is a chunk of its own; other columns are never read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ domain that were active on the day of its fetch.
 
 Edge cases: a capture without a date, URL or host matches nothing; entries without name, date or
 known action are ignored; when an entry is added and removed on one day, the removal wins; a
-repeated addition extends nothing; repeated captures are rows of their own; empty tables on
+repeated addition extends nothing; repeated captures are rows of their own; very long URLs have as
+many parent domains as labels; other columns are never read, whatever their names; empty tables on
 either side give every capture unblocked, or no rows.
 """
 

@@ -366,12 +366,12 @@ def test_mixing(spark):
     targets = {"source": {"a": 0.5, "b": 0.3, "<null>": 0.2}, "lang": {"en": 0.6, "de": 0.3, "<null>": 0.1}}
     got = mixing.mix(docs, targets=targets, rate=0.2)
     assert got.count() == len(rows)
-    total = got.agg(F.sum(F.col("_n_tokens") * F.col("_prob"))).first()[0]
+    total = got.agg(F.sum(F.col("n_tokens") * F.col("prob"))).first()[0]
     assert total == pytest.approx(0.2 * sum(len((r[1] or "").split()) for r in rows))
-    for dim, col in (("source", "_source"), ("lang", "_lang")):
-        shares = {r[0]: r[1] / total for r in got.groupBy(col).agg(F.sum(F.col("_n_tokens") * F.col("_prob"))).collect()}
+    for dim, col in (("source", "source"), ("lang", "lang")):
+        shares = {r[0]: r[1] / total for r in got.groupBy(col).agg(F.sum(F.col("n_tokens") * F.col("prob"))).collect()}
         assert all(shares[k] == pytest.approx(x, abs=1e-3) for k, x in targets[dim].items())
-    assert got.filter("_source = 'empty' AND _sampled").count() == 0
+    assert got.filter("source = 'empty' AND sampled").count() == 0
     assert mixing.sample(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
 
@@ -380,7 +380,7 @@ def test_mixing_of_many_cells_stays_in_spark(spark):
     rows = [(i, "w " * (1 + i % 7), "en" if i % 3 else "de", f"s{i % 4}") for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     targets = {"source": {"s0": 0.7, "s1": 0.1, "s2": 0.1, "s3": 0.1}}
-    a, b = ({r["doc_id"]: (r["_factor"], r["_prob"]) for r in mixing.mix(docs, targets=targets, most=m).collect()} for m in (100, 1))
+    a, b = ({r["doc"]["doc_id"]: (r["factor"], r["prob"]) for r in mixing.mix(docs, targets=targets, most=m).collect()} for m in (100, 1))
     assert all(a[i] == pytest.approx(b[i], rel=1e-6) for i in range(80))
 
 
@@ -395,13 +395,13 @@ def test_mixing_meets_shares_where_cells_cap(spark, way, most):
     assert all(r["expected"] == pytest.approx(r["target"], abs=1e-6) for r in shares)
     if way == "copies":
         assert shares[0]["rate"] == pytest.approx(0.5)
-        assert mixing.sample(docs, way=way).count() == got.agg(F.sum("_copies")).first()[0]
-        assert got.filter("abs(_copies - _prob) >= 1").count() == 0
+        assert mixing.sample(docs, way=way).count() == got.agg(F.sum("copies")).first()[0]
+        assert got.filter("abs(copies - prob) >= 1").count() == 0
     else:
-        assert got.agg(F.max("_prob")).first()[0] <= 1
+        assert got.agg(F.max("prob")).first()[0] <= 1
         assert 0 < shares[0]["rate"] < 0.5
         if most > 1:  # the rarest category is taken whole
-            assert got.filter("_topic = 'shouting'").agg(F.min("_prob")).first()[0] > 0.99
+            assert got.filter("topic = 'shouting'").agg(F.min("prob")).first()[0] > 0.99
 
 
 def test_bounded_rate_is_the_largest():
@@ -576,3 +576,20 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
             assert set(now) == set(before)
             assert all(r["ids"] == tok.encode(r["text"], add_special_tokens=False).ids for r in now.values())
     assert len(left["mixing"]) < len(left["near_dedup"])
+
+
+def test_clashing_columns(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 30), "en", f"s{i % 3}") for i in range(30)] + [(30, None, None, None)]
+    names = ["_source", "_lang", "_topic", "_n_tokens", "_factor", "_prob", "factor", "Prob", "sampled", "doc", "draw", "_score", "_SCORE_", "_dropped", "dropped", "IDS", "_doc", "_id", "_n", "best", "mine", "batch", "keep_id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    model = quality.Model(np.zeros(64, np.float32), 1.0)
+    scored = quality.scored(docs, model)
+    assert scored.columns == [*docs.columns, "_score__"]
+    assert {r[-1] for r in scored.collect()} == {1 / (1 + math.exp(-1))}
+    stages = {"mixing": mixing.sample(docs, rate=1.0), "near": ngram_join.one_of_each(docs), "exact": exact_dedup.DigestIndex(spark).survivors(docs), "bpe": bpe.encoded(docs, BYTE)}
+    for name, out in stages.items():
+        assert out.columns == docs.columns + (["ids_"] if name == "bpe" else [])
+        got = out.collect()
+        assert all(tuple(r[4 : 4 + len(names)]) == tuple(range(len(names))) for r in got)
+        assert len(got) == 31 or name == "mixing"
