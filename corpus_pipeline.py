@@ -25,7 +25,8 @@ RATE = 0.5
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subword classifier takes for quality 1; learned from three folds of the labels."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.bucket_of(F.col("doc_id"), 4) != 2)
-    return quality.scored(docs, model).filter(F.col("_score") >= QUALITY).select(*docs.columns)
+    out = quality.scored(docs, model)
+    return out.filter(out[out.columns[-1]] >= QUALITY).drop(out.columns[-1])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
