@@ -8,7 +8,9 @@ bucket of their anchor's hash.
 
 First only anchors are asked for, as 32-bit fingerprints within their bucket: an anchor that stands
 in one document has nothing to share, and most do. Documents then send the fragments of the
-anchors that several have.
+anchors that several have. An anchor that stands in more than HOT documents, such as a frequent
+phrase in different surroundings, is split: its strings belong to it and to the k-byte substring of
+next least hash together, so that its fragments are dealt over all buckets.
 
 A bucket drops what a fingerprint let through, and keeps one of equal fragments with the smallest
 id that has it. Fragments whose anchor has no other fragment are settled by that. The
@@ -42,7 +44,9 @@ from .postings import narrow, pack, unpack
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 LAST_ID = (1 << 63) - 1
-K = 20
+K = 24
+#: Documents of an anchor beyond which it is split by a second one.
+HOT = 256
 #: Bytes that are cut at once, and symbols that are merged at once.
 RUN, MERGE = 1 << 20, 1 << 22
 CHUNK = 8 << 20
@@ -56,25 +60,43 @@ def _mix(h: np.ndarray, m: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def fragments(flat: np.ndarray, doc: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first start, starts) of the fragments of documents laid end to end.
+def anchors(flat: np.ndarray, length: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the k-byte substring at each byte; of each string the place of its anchor, and of its second one).
 
-    doc numbers the bytes, ends are the documents' ends in flat.
+    Without second the last is empty.
     """
     n, w = len(flat), length - K + 1
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return np.zeros(0, np.uint64), none, none
     word = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(flat), 0, (1,))
     m = n - K + 1
     h = _mix(word[:m] * _M[0] ^ _mix(word[8 : 8 + m], _M[1]) ^ word[K - 8 : K - 8 + m] * _M[2], _M[3])
     low, span = (h & ~_POS) | np.arange(m, dtype=np.uint64), 1
+    next_ = np.full(m, ~np.uint64(0)) if second else low[:0]
+
+    def least(i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
+        a, b = low[i], low[j]
+        both = np.minimum(a, b)
+        if not second:
+            return both, next_
+        more = np.minimum(next_[i], next_[j])  # of overlapping spans a place may be in both
+        return both, np.where(a == b, more, np.minimum(np.maximum(a, b), more))
+
     while 2 * span <= w:
-        low = np.minimum(low[:-span], low[span:])
+        low, next_ = least(slice(None, -span), slice(span, None))
         span *= 2
     if span < w:
-        low = np.minimum(low[: m - w + 1], low[w - span : w - span + m - w + 1])
-    at = (low & _POS).astype(np.int64)
+        low, next_ = least(slice(0, m - w + 1), slice(w - span, w - span + m - w + 1))
+    return h, (low & _POS).astype(np.int64), (next_ & _POS).astype(np.int64)
+
+
+def fragments(flat: np.ndarray, doc: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first start, starts) of the fragments of documents laid end to end.
+
+    doc numbers the bytes, ends are the documents' ends in flat.
+    """
+    none = np.zeros(0, np.int64)
+    if len(flat) < length:
+        return np.zeros(0, np.uint64), none, none
+    h, at, _ = anchors(flat, length)
     starts = np.arange(len(at))
     ok = starts + length <= ends[doc[: len(at)]]
     at, starts = at[ok], starts[ok]
@@ -83,6 +105,16 @@ def fragments(flat: np.ndarray, doc: np.ndarray, ends: np.ndarray, length: int)
     return h[at[first]], starts[first], np.diff(np.concatenate([first, [len(at)]]))
 
 
+def split(flat: np.ndarray, length: int, anchor: np.ndarray, start: np.ndarray, n_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first start, starts, number of the fragment) of fragments cut by their strings' second anchors."""
+    h, _, at = anchors(flat, length, second=True)
+    of = np.repeat(np.arange(len(start)), n_starts)
+    starts = np.arange(len(of)) + np.repeat(start - (np.cumsum(n_starts) - n_starts), n_starts)
+    at = at[starts]
+    first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+    return _mix(anchor[of[first]] * _M[2] ^ h[at[first]], _M[0]), starts[first], np.diff(first, append=len(of)), of[first]
+
+
 def rows_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """The strings as rows of a matrix, zero beyond their size."""
     out = np.zeros((len(start), width), np.uint8)
@@ -177,20 +209,30 @@ def _masks(hit: np.ndarray) -> np.ndarray:
 
 
 def _cuts(texts: list[bytes], length: int):
-    """(first document, bytes, anchors, starts, sizes, documents, positions) of runs of about RUN bytes of texts."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= RUN):
-            n += len(texts[j])
-            j += 1
-        sizes = np.array([len(t) for t in texts[i:j]], np.int64)
-        flat, ends = np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum(sizes)
-        doc = np.repeat(np.arange(j - i), sizes)
-        anchor, start, n_starts = fragments(flat, doc, ends, length)
-        d = doc[start] if len(start) else start
-        yield flat, anchor, start, n_starts + length - 1, d + i, start - (ends - sizes)[d]
-        i = j
+    """(bytes, anchors, starts, sizes, documents, shifts from starts to positions) of runs of about RUN bytes of texts.
+
+    A text of more than RUN bytes is taken in pieces that overlap by length - 1, so each of its strings is in one.
+    """
+    run, n = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - length + 1), RUN):
+            piece = t[at : at + RUN + length - 1] if len(t) > RUN else t
+            if run and n + len(piece) > RUN:
+                yield _run(run, length)
+                run, n = [], 0
+            run.append((i, at, piece))
+            n += len(piece)
+    if run:
+        yield _run(run, length)
+
+
+def _run(pieces: list[tuple[int, int, bytes]], length: int):
+    sizes = np.array([len(p) for _, _, p in pieces], np.int64)
+    flat, ends = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8), np.cumsum(sizes)
+    doc = np.repeat(np.arange(len(pieces)), sizes)
+    anchor, start, n_starts = fragments(flat, doc, ends, length)
+    d = doc[start] if len(start) else start
+    return flat, anchor, start, n_starts + length - 1, np.array([i for i, _, _ in pieces], np.int64)[d], (np.array([at for _, at, _ in pieces], np.int64) - (ends - sizes))[d]
 
 
 def _identity(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -226,24 +268,25 @@ def _ask(length: int):
 
 
 def _repeated(blobs: list[bytes]) -> list[bytes | None]:
-    """Of each chunk's (document, anchor) those whose anchor another document has."""
+    """Of each chunk's (document, anchor) those whose anchor another document has, and whether more than HOT have it."""
     got = [unpack(x) for x in blobs]
     short = np.concatenate([np.zeros(0, np.uint32), *(g[1] for g in got)])
     order = np.argsort(short, kind="stable")
-    equal = short[order][1:] == short[order][:-1]
-    many = np.zeros(len(short), bool)
-    many[order[1:][equal]] = many[order[:-1][equal]] = True
+    first = np.flatnonzero(np.diff(short[order], prepend=~short[order][:1]))
+    times = np.zeros(len(short), np.int64)
+    size = np.diff(first, append=len(short))
+    times[order] = np.repeat(size, size)
     cuts = np.cumsum([0, *(len(g[1]) for g in got)])
-    keep = [many[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    return [pack(narrow(doc[k]), a[k]) if k.any() else None for (doc, a), k in zip(got, keep, strict=True)]
+    here = [times[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [pack(narrow(doc[n > 1]), a[n > 1], (n[n > 1] > HOT).astype(np.uint8)) if (n > 1).any() else None for (doc, a), n in zip(got, here, strict=True)]
 
 
 def _by_document(base: bytes, parts: list[bytes]) -> pa.Table:
-    """(doc_id, print, anchors) of the chunk's documents that share an anchor."""
+    """(doc_id, print, anchors) of the chunk's documents that share an anchor; an anchor is 1 << 32 higher if it is to be split."""
     ids, absent, prints = unpack(base)
     got = [unpack(x) for x in parts]
     doc = np.concatenate([np.zeros(0, np.int64), *(g[0].astype(np.int64) for g in got)])
-    short = np.concatenate([np.zeros(0, np.uint32), *(g[1] for g in got)])
+    short = np.concatenate([np.zeros(0, np.uint64), *(g[1] | g[2].astype(np.uint64) << np.uint64(32) for g in got)])
     order = np.argsort(doc, kind="stable")
     who, cut = np.unique(doc[order], return_index=True)
     cut = [*cut.tolist(), len(doc)]
@@ -256,14 +299,23 @@ def _encode(length: int):
 
     def encode(held: list[pa.RecordBatch], buckets: int) -> tuple[bytes, dict[int, bytes]]:
         ids, absent, prints, texts = _identity(held)
-        shared = [np.frombuffer(x, np.uint32) for b in held for x in b.column(3).to_pylist()]
-        known = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i << 32) | x for i, x in enumerate(shared))])
+        shared = [np.frombuffer(x, np.uint64) for b in held for x in b.column(3).to_pylist()]
+        low, top = np.uint64((1 << 32) - 1), np.uint64(1 << 32)
+        known = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i << 32) | (x & low) for i, x in enumerate(shared))])
+        hot = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i << 32) | (x[x >= top] & low) for i, x in enumerate(shared))])
         got = [(np.zeros(0, np.uint64), *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2, np.zeros((0, width), np.uint8))]
-        for flat, anchor, start, size, doc, pos in _cuts(texts, length):
-            keep = np.isin(doc.astype(np.uint64) << np.uint64(32) | _short(anchor), known)
-            anchor, start, size, doc, pos = anchor[keep], start[keep], size[keep], doc[keep], pos[keep]
+        for flat, anchor, start, size, doc, shift in _cuts(texts, length):
+            name = doc.astype(np.uint64) << np.uint64(32) | _short(anchor)
+            keep, many = np.isin(name, known), np.isin(name, hot)
+            if many.any():
+                cut, at, n_starts, of = split(flat, length, anchor[many], start[many], size[many] - length + 1)
+                keep &= ~many
+                anchor, start, size = np.concatenate([anchor[keep], cut]), np.concatenate([start[keep], at]), np.concatenate([size[keep], n_starts + length - 1])
+                doc, shift = (np.concatenate([x[keep], x[many][of]]) for x in (doc, shift))
+            else:
+                anchor, start, size, doc, shift = anchor[keep], start[keep], size[keep], doc[keep], shift[keep]
             rows = rows_of(flat, start, size, width)
-            got.append((anchor, *fingerprints(rows, size), size.astype(np.uint8), doc, pos, rows))
+            got.append((anchor, *fingerprints(rows, size), size.astype(np.uint8), doc, start + shift, rows))
         anchor, a, b, size, doc, pos = (np.concatenate([g[k] for g in got]) for k in range(6))
         same = classes(a, b)
         least = np.full(same.max() + 1 if len(same) else 0, LAST_ID)
@@ -370,8 +422,8 @@ def _merge(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None) -> DataFrame:
     """(doc_id, print, spans) of the rows of docs (doc_id, text, print) that lose bytes; spans: pairs of int64 (from, to)."""
-    if not 2 * K <= length <= K + 60:
-        raise ValueError(f"length must be from {2 * K} to {K + 60}")
+    if not K < length <= K + 60:
+        raise ValueError(f"length must be from {K + 1} to {K + 60}")
     buckets = buckets or postings.bucket_count(docs, size=16 << 20)
     asked = postings.two_hops(docs, buckets, _ask(length), _repeated, _by_document, "doc_id long, print long, anchors binary", CHUNK)
     sharing = with_rows(docs, asked, "inner").select("doc_id", "text", "print", "anchors")

@@ -116,8 +116,9 @@ def brute_spans(rows, length):
     return out
 
 
-def test_suffix_dedup(spark, odd_rows):
-    rows = [(i, t) for i, t in odd_rows if i not in (139, 140)] + [(150, "ab" * 400), (151, "ba" * 300), (152, "z" + "ab" * 200 + "q")]
+def test_suffix_dedup(spark, odd_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RUN", 7000)  # the long texts of 139 and 140 go in pieces
+    rows = odd_rows + [(150, "ab" * 400), (151, "ba" * 300), (152, "z" + "ab" * 200 + "q")]
     got = [tuple(r) for r in suffix_dedup.suffix_dedup(frame(spark, rows), buckets=5).collect()]
     assert Counter(got) == Counter(brute_spans(rows, 50))
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
@@ -125,6 +126,52 @@ def test_suffix_dedup(spark, odd_rows):
         suffix_dedup.suffix_dedup(frame(spark, rows), length=10)
 
 
+def test_suffix_dedup_splits_hot_anchors(monkeypatch):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, passage = letters(26), letters(70)
+    texts = [letters(rng.randint(30, 90)) + (rng.choice([passage, phrase + passage[:40]]) if i % 15 == 0 else phrase) + letters(rng.randint(30, 90)) for i in range(300)]
+    rows = list(enumerate(texts))
+    want = {(r[0], r[2], r[3]) for r in brute_spans(rows, 50)}
+    fragments = {}
+    for hot in (1 << 30, 3):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        spans, groups = plain_spans(rows, 50, 5)
+        assert {(i, sum(b - a for a, b in s), len(s)) for i, s in spans.items()} == want
+        fragments[hot] = max(groups.values())
+    assert fragments[3] < fragments[1 << 30] / 3  # of one anchor in one merge
+
+
+def texts_of(blob):
+    anchor, size, *_, text = suffix_dedup.unpack(blob)
+    ends = np.cumsum(size.astype(np.int64))
+    return [(int(a), np.frombuffer(text, np.uint8)[e - n : e]) for a, e, n in zip(anchor, ends, size.astype(np.int64), strict=True)]
+
+
+def plain_spans(rows, length, buckets):
+    """Spans of each row by the operator's own steps over one chunk a row, without Spark; distinct fragments by anchor."""
+    chunks = [[pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t]), pa.array([0])], ["doc_id", "text", "print"])] for i, t in rows]
+
+    def hops(chunks, encode, solve, merge):
+        sent = [encode(c, buckets) for c in chunks]
+        back = [[] for _ in sent]
+        for b in range(buckets):
+            asked = [(k, x[1][b]) for k, x in enumerate(sent) if b in x[1]]
+            for (k, _), x in zip(asked, solve([x for _, x in asked]), strict=True):
+                back[k] += [x] if x is not None else []
+        return [merge(x[0], y) for x, y in zip(sent, back, strict=True)], [x[1] for x in sent]
+
+    asked, _ = hops(chunks, suffix_dedup._ask(length), suffix_dedup._repeated, suffix_dedup._by_document)
+    again = [[pa.RecordBatch.from_arrays([*c[0].columns, pa.array([t["anchors"][0].as_py() if len(t) else b""], pa.binary())], ["doc_id", "text", "print", "anchors"])] for c, t in zip(chunks, asked, strict=True)]
+    found, sent = hops(again, suffix_dedup._encode(length), suffix_dedup._solve(length), suffix_dedup._merge(length))
+    groups = Counter(a for a, _ in {(a, x.tobytes()) for blobs in sent for blob in blobs.values() for a, x in texts_of(blob)})
+    spans = {i: [] for i, _ in rows}
+    for t in found:
+        for i, s in zip(t["doc_id"].to_pylist(), t["spans"].to_pylist(), strict=True):
+            spans[i] = np.frombuffer(s, np.int64).reshape(-1, 2).tolist()
+    return spans, groups
+
+
 def test_merged_transforms_sort_all_suffixes():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(25)]
