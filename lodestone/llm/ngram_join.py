@@ -7,15 +7,18 @@ shingles is hashed into m_k segments. Sets r and s with Jaccard >= t differ in a
 H = floor((1 - t) / (1 + t) * (|r| + |s|)) shingles, so of r's non-empty segments at most H can
 differ from s's.
 
-Allocation, by cost. The signature of a segment (its number and the hash of the shingles in it)
-costs one key and covers one difference. A set publishes H + 1 signatures, those of segments
-with the most shingles first: both sides rank by the signature alone, so two sets that agree on
-all but H signatures agree on one of the published. Segments of one shingle, which a common
-passage fills alike in many documents, come last and in sets of some size are never needed.
-Bands that start at SMALL shingles or fewer have few segments to choose from: their sets publish
-all of them with the one-deletion neighbourhoods of segments of two or more shingles, which cover
-two differences each. A set whose segments cannot cover H + 1 differences is reported, and its band is run again
-with more segments, until none is left: no pair is ever missed.
+Allocation, by cost. The cost of a signature (a segment's number and the hash of the shingles in it)
+is the length of its list, which the rarest of its shingles bounds: a first pass counts all
+shingles of the corpus in a table of cells. A set publishes its H + 1 cheapest signatures. Both
+sides rank by the signature alone, so two sets that agree on all but H signatures agree on one of
+the published: of two sets' last published signatures the cheaper one's set has published nothing
+that the other set would not have published too, were it there, so all H + 1 would differ. Signatures of
+a passage that many documents share are dear, and are not published while a set has H + 1 of its own.
+In bands that start at SMALL shingles or fewer, sets without H + 1 cheap signatures publish all
+of theirs with the one-deletion neighbourhoods of segments of two or more shingles, which cover
+two differences each; the cheap H + 1 of another set meet them as at most H can differ. A set whose
+segments cannot cover H + 1 differences is reported, and its band is run again with more
+segments, until none is left: no pair is ever missed.
 
 Candidates. Keys are dealt to buckets of hashes, packed by chunk; equal sets within a chunk
 publish once. Within a key's list every member is paired with the smallest id only. Of these
@@ -43,15 +46,20 @@ from math import ceil, floor
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .postings import bucket_count, chunked, home_bucket, narrow, pack, unpack
+from .postings import bucket_count, chunked, home_bucket, input_bytes, narrow, pack, unpack
 from .scratch import staged
 
-#: Sets up to this size publish one-deletion neighbourhoods.
+#: Bands that start here or below have one-deletion neighbourhoods for sets without cheap signatures.
 SMALL = 16
+#: Cells of the table of shingle counts: a cell for so many bytes of text, within these powers of two; codes to an octave.
+CELL_BYTES, CELL_BITS, OCTAVE = 64, (12, 22), 8
+#: A signature is dear if its list may be longer than this and than this many times a cell's mean.
+DEAR, DEAR_MEANS = 64, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -74,8 +82,8 @@ class Words(dict):
 _WORDS = Words()
 
 
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a text, A-Z lower-cased."""
+def windows(text: str | None, n: int = 5) -> np.ndarray:
+    """64-bit hashes of the n-word shingles of a text, A-Z lower-cased, as they stand."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -84,7 +92,59 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = mix(out + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text."""
+    return np.unique(windows(text, n))
+
+
+class Costs:
+    """Codes of the counts of shingles by cell, and the code from which a signature is dear."""
+
+    def __init__(self, codes: np.ndarray, dear: int):
+        self.codes, self.dear = codes, dear
+        self.shift = np.uint64(65 - len(codes).bit_length())
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return self.codes[(s >> self.shift).astype(np.int64)]
+
+
+FREE = Costs(np.zeros(1, np.uint8), 255)
+_BLOCK = 1 << 16
+
+
+def shingle_costs(docs: DataFrame, n: int, n_bytes: int) -> Costs:
+    """Counts of all shingles of docs (id, text) by cell: summed in tasks, by groups of tasks, and in all."""
+    bits = min(max(-(-n_bytes // CELL_BYTES).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+    cells, group = 1 << bits, max(1, ceil(docs.rdd.getNumPartitions() ** 0.5))
+    shift = np.uint64(64 - bits)
+
+    def count(batches):
+        total, task = np.zeros(cells, np.int64), TaskContext.get().partitionId()
+        for batch in batches:
+            held = [windows(t, n) for t in batch.column(1).to_pylist()]
+            total += np.bincount((np.concatenate([np.zeros(0, np.uint64), *held]) >> shift).astype(np.int64), minlength=cells)
+        blocks = [total[i : i + _BLOCK] for i in range(0, cells, _BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), task % group, np.int32)), pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([pack(narrow(b)) for b in blocks], pa.binary())], ["part", "block", "counts"])
+
+    def added(t: pa.Table) -> pa.Table:
+        total = sum(unpack(x)[0].astype(np.int64) for x in t["counts"].to_pylist())
+        return pa.table({"part": t["part"][:1], "block": t["block"][:1], "counts": pa.array([pack(narrow(total))], pa.binary())})
+
+    out = "part int, block int, counts binary"
+    sums = docs.select("id", "text").mapInArrow(count, out).groupBy("part", "block").applyInArrow(added, out).groupBy("block").applyInArrow(added, out)
+    codes, total = np.zeros(cells, np.uint8), 0
+    for r in sums.collect():  # at most 2 ** CELL_BITS cells, packed
+        counts = unpack(r["counts"])[0].astype(np.int64)
+        total += int(counts.sum())
+        codes[r["block"] * _BLOCK : r["block"] * _BLOCK + len(counts)] = cost_code(counts)
+    return Costs(codes, int(cost_code(np.array([max(DEAR, DEAR_MEANS * total / cells)]))[0]))
+
+
+def cost_code(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(np.maximum(n, 1)) * OCTAVE), 254).astype(np.uint8)
 
 
 class Bands:
@@ -100,7 +160,7 @@ class Bands:
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
     def segments(self, k: int) -> int:
-        return (int(self.starts[k + 1] - 1) // 2 + 24) * self.widen.get(k, 1)
+        return (int(self.starts[k + 1] - 1) + 24) * self.widen.get(k, 1)
 
     def budget(self, size: int, k: int) -> int:
         """H + 1 for a set of this size against the sets it can be within t of and whose larger lies in band k."""
@@ -112,9 +172,9 @@ class Bands:
         return list(range(k, top + 1))
 
 
-def signatures(s: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[int]]:
+def signatures(s: np.ndarray, bands: Bands, costs: Costs = FREE) -> tuple[list[np.ndarray], list[int]]:
     """Keys that a set publishes, and the bands in which they cannot cover its budget."""
-    out, short = [], []
+    out, short, cost = [], [], costs.of(s)
     for k in bands.met(len(s)):
         m, need = bands.segments(k), bands.budget(len(s), k)
         seg = (s >> np.uint64(11)) % np.uint64(m)
@@ -123,8 +183,8 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[int]
         first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
         size = np.diff(np.concatenate([first, [len(s)]]))
         sums, tag = np.add.reduceat(h, first), seg[first] * np.uint64(1 << 12) + np.uint64(k)
-        keys = mix(sums ^ mix(tag))
-        if bands.starts[k] <= SMALL:
+        keys, dear = mix(sums ^ mix(tag)), np.minimum.reduceat(cost[order], first)
+        if bands.starts[k] <= SMALL and (dear < costs.dear).sum() < need:
             owner = np.repeat(np.arange(len(first)), size)
             less = size[owner] > 1
             keys = np.concatenate([keys, mix((sums[owner] - h)[less] ^ mix(tag[owner][less]))])
@@ -133,8 +193,8 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[int]
         elif len(keys) < need:
             short.append(k)
         else:
-            # most shingles first; beyond three they count alike
-            rank = np.lexsort((keys, -np.minimum(size, 3)))
+            # of equal costs those of most shingles first; beyond three they count alike
+            rank = np.lexsort((keys, -np.minimum(size, 3), dear))
             keys = keys[rank[:need]]
         out.append(keys)
     return out, short
@@ -166,7 +226,7 @@ def _rows(kind: str, a, b=None, members=None, sketch=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(a, pa.int64()), column(b, pa.int64()), column(members, pa.binary()), pa.nulls(n, _FOUND.field("sketch").type) if lists is None else lists], schema=_FOUND)
 
 
-def _publish(bands: Bands, n: int, buckets: int):
+def _publish(bands: Bands, costs: Costs, n: int, buckets: int):
     """Chunks to (bucket, blob): keys with members, and what the chunk knows of its documents."""
 
     def run(batches):
@@ -185,7 +245,7 @@ def _publish(bands: Bands, n: int, buckets: int):
                     if (leader := first.setdefault(xxhash.xxh3_128_digest(s.tobytes()), i)) != i:
                         copies.append((leader, i))
                         continue
-                    mine, lacking = signatures(s, bands)
+                    mine, lacking = signatures(s, bands, costs)
                     short.update(lacking)
                     keys += mine
                     owners.append(np.full(sum(map(len, mine)), i, np.int64))
@@ -285,11 +345,12 @@ def bounded(pairs: DataFrame, sketches: DataFrame, t: float) -> DataFrame:
     # sizes within t of each other: one sketch is at most twice the other
     fold = lambda s: F.when(F.size(s) > n, F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, n + 1, n), xor)).otherwise(F.col(s))
     differ = F.aggregate(F.zip_with(fold("sa"), fold("sb"), xor), F.lit(0), lambda total, x: total + F.bit_count(x))
-    return both.filter(size).filter(within_budget(differ, t)).select("a", "b").distinct()
+    # not distinct: rows that share an id repeat a pair, and an aggregate here would keep Spark from splitting a hot a
+    return both.filter(size).filter(within_budget(differ, t)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, t: float, n: int) -> DataFrame:
-    """The distinct pairs (a, b) of ids whose texts' sets are within t."""
+    """The pairs (a, b) of ids whose texts' sets are within t."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -299,9 +360,11 @@ def verified(pairs: DataFrame, texts: DataFrame, t: float, n: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, t: float = 0.75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    buckets, widen = buckets or bucket_count(rows), {}
+    n_bytes, widen = input_bytes(rows), {}
+    buckets = buckets or bucket_count(rows, n_bytes=n_bytes)
+    costs = shingle_costs(rows, n, n_bytes)
     while True:
-        sent = rows.mapInArrow(_publish(Bands(t, widen), n, buckets), "bucket int, blob binary")
+        sent = rows.mapInArrow(_publish(Bands(t, widen), costs, n, buckets), "bucket int, blob binary")
         found = staged(sent.groupBy("bucket").applyInArrow(_lists, FOUND), "candidates")
         short = [r[0] for r in found.filter("kind = 'short'").select("a").distinct().collect()]  # bands: a few dozen at most
         if not short:
@@ -313,12 +376,9 @@ def jaccard_components(docs: DataFrame, t: float = 0.75, n: int = 5, id_col: str
     pairs = staged(bounded(kind("pair").select("a", "b").distinct(), sketches, t), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(lists.select("id")).distinct()
     texts = staged(rows.join(nodes, "id", "left_semi"), "candidate-texts")
-    edges = kind("copy").select("a", "b")
     best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = edges.unionByName(verified(best, texts, t, n))
-    within = connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    edges = edges.unionByName(verified(across(pairs.join(best, ["a", "b"], "left_anti"), within), texts, t, n))
-    within = connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    within = linked(kind("copy").select("a", "b").unionByName(verified(best, texts, t, n)))
+    within = linked(verified(across(pairs.join(best, ["a", "b"], "left_anti"), within), texts, t, n), within)
     homes = lists.join(within.select(F.col("node").alias("id"), "component"), "id", "left").select("list", "id", F.coalesce("component", "id").alias("home"))
     split = homes.groupBy("list").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("list")
     homes = staged(homes.join(split, "list", "left_semi").join(sketches, "id"), "open-lists")
@@ -326,12 +386,21 @@ def jaccard_components(docs: DataFrame, t: float = 0.75, n: int = 5, id_col: str
     rest = possible(x.join(y, "list").filter("a < b AND home_a <> home_b"), t).join(pairs, ["a", "b"], "left_anti")
     rest = staged(bounded(rest, sketches, t), "open-pairs")
     more = verified(rest, texts, t, n)
-    if not more.isEmpty():
-        within = connected(edges.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    within = linked(more, within)
     out = kind("doc").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return out.join(within.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def linked(edges: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """(node, component) by edges (a, b), going on from the components within."""
+    edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if within is None:
+        return connected(edges)
+    if edges.isEmpty():
+        return within
+    return connected(edges.unionByName(within.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
 def across(pairs: DataFrame, within: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     home = lambda c: within.select(F.col("node").alias(c), F.col("component").alias(f"home_{c}"))

@@ -31,9 +31,10 @@ def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
 
 
-def bucket_count(docs: DataFrame, text_col: str = "text", size: int = 32 << 20) -> int:
+def bucket_count(docs: DataFrame, text_col: str = "text", size: int = 32 << 20, n_bytes: int | None = None) -> int:
     """Buckets that get about `size` bytes of text each, at least the session's shuffle partitions."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs, text_col) // size))
+    n_bytes = input_bytes(docs, text_col) if n_bytes is None else n_bytes
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // size))
 
 
 def chunked(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[int, list[pa.RecordBatch]]]:

@@ -550,6 +550,50 @@ def test_sketches_fold(spark):
     assert {x["b"] for x in ngram_join.bounded(pairs, sketches, 0.75).collect()} == {2, 3, 6}
 
 
+def test_costs_count_all_shingles(spark, odd_rows):
+    costs = ngram_join.shingle_costs(frame(spark, odd_rows).repartition(5).select(F.col("doc_id").alias("id"), "text"), 5, 1 << 16)
+    total = Counter()
+    for _, t in odd_rows:
+        total.update((ngram_join.windows(t, 5) >> costs.shift).tolist())
+    want = np.zeros(len(costs.codes), np.int64)
+    want[list(total)] = list(total.values())
+    assert (ngram_join.cost_code(want) == costs.codes).all()
+
+
+def test_dear_signatures_miss_no_link():
+    rng = np.random.default_rng(5)
+    bands, codes = ngram_join.Bands(0.75, {}), np.zeros(1 << 12, np.uint8)
+    codes[rng.integers(0, 1 << 12, 1 << 11)] = rng.integers(0, 200, 1 << 11)  # half of the cells cost something
+    costs, links = ngram_join.Costs(codes, 100), 0
+    for size in [1, 2, 3, 4, 6, 8, 11, 14, 16, 18, 22, 30, 50, 90, 200, 700]:
+        passage = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        codes[(passage >> costs.shift).astype(np.int64)] = 180
+        for _ in range(80):
+            r = np.unique(np.concatenate([passage[: rng.integers(0, size + 1)], rng.integers(0, 1 << 63, size, dtype=np.uint64)])[:size])
+            drop = int(rng.integers(0, max(1, size // 4) + 1))
+            s = np.unique(np.concatenate([r[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, size // 6 + 1)), dtype=np.uint64)]))
+            both = len(np.intersect1d(r, s))
+            if 4 * both >= 3 * (len(r) + len(s) - both):
+                links += 1
+                (a, short_a), (b, short_b) = ngram_join.signatures(r, bands, costs), ngram_join.signatures(s, bands, costs)
+                assert short_a or short_b or len(np.intersect1d(np.concatenate(a), np.concatenate(b)))
+    assert links > 300
+
+
+def test_common_passage_makes_no_pairs():
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    passage = [word() for _ in range(40)]
+    for own in (60, 100, 300):
+        texts = [" ".join([*(word() for _ in range(own // 2)), *passage, *(word() for _ in range(own // 2))]) for _ in range(300)]
+        sets = [ngram_join.shingles(t) for t in texts]
+        flat = np.concatenate(sets)
+        codes = ngram_join.cost_code(np.bincount((flat >> np.uint64(48)).astype(np.int64), minlength=1 << 16))
+        costs = ngram_join.Costs(codes, int(ngram_join.cost_code(np.array([64]))[0]))
+        keys = Counter(k for s in sets for x in ngram_join.signatures(s, ngram_join.Bands(0.75, {}), costs)[0] for k in x.tolist())
+        assert sum(n * (n - 1) // 2 for n in keys.values()) < 300
+
+
 def test_short_bands_run_again():
     bands = ngram_join.Bands(0.75, {})
     crowded = np.arange(40, dtype=np.uint64)  # all in segment 0, as segments are taken from the high bits
