@@ -8,9 +8,9 @@ bucket of their anchor's hash.
 
 First only anchors are asked for, as 32-bit fingerprints within their bucket: an anchor that stands
 in one document has nothing to share, and most do. Documents then send the fragments of the
-anchors that several have. An anchor that stands in more than HOT documents, such as a frequent
-phrase in different surroundings, is split: its strings belong to it and to the k-byte substring of
-next least hash together, so that its fragments are dealt over all buckets.
+anchors that several have. An anchor that stands in more than HOT different fragments, such as a
+frequent phrase in different surroundings, is split: its strings belong to it and to the k-byte
+substring of next least hash together, so that its fragments are dealt over all buckets.
 
 A bucket drops what a fingerprint let through, and keeps one of equal fragments with the smallest
 id that has it. Fragments whose anchor has no other fragment are settled by that. The
@@ -45,8 +45,8 @@ from .postings import narrow, pack, unpack
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 LAST_ID = (1 << 63) - 1
 K = 24
-#: Documents of an anchor beyond which it is split by a second one.
-HOT = 256
+#: Forms of an anchor's fragments beyond which it is split by a second one, and the bits that tell forms apart.
+HOT, FORM_BITS = 256, 12
 #: Bytes that are cut at once, and symbols that are merged at once.
 RUN, MERGE = 1 << 20, 1 << 22
 CHUNK = 8 << 20
@@ -60,32 +60,9 @@ def _mix(h: np.ndarray, m: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(flat: np.ndarray, length: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the k-byte substring at each byte; of each string the place of its anchor, and of its second one).
-
-    Without second the last is empty.
-    """
-    n, w = len(flat), length - K + 1
-    word = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(flat), 0, (1,))
-    m = n - K + 1
-    h = _mix(word[:m] * _M[0] ^ _mix(word[8 : 8 + m], _M[1]) ^ word[K - 8 : K - 8 + m] * _M[2], _M[3])
-    low, span = (h & ~_POS) | np.arange(m, dtype=np.uint64), 1
-    next_ = np.full(m, ~np.uint64(0)) if second else low[:0]
-
-    def least(i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
-        a, b = low[i], low[j]
-        both = np.minimum(a, b)
-        if not second:
-            return both, next_
-        more = np.minimum(next_[i], next_[j])  # of overlapping spans a place may be in both
-        return both, np.where(a == b, more, np.minimum(np.maximum(a, b), more))
-
-    while 2 * span <= w:
-        low, next_ = least(slice(None, -span), slice(span, None))
-        span *= 2
-    if span < w:
-        low, next_ = least(slice(0, m - w + 1), slice(w - span, w - span + m - w + 1))
-    return h, (low & _POS).astype(np.int64), (next_ & _POS).astype(np.int64)
+def _hashes(word: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the k-byte substrings at the first m places of the last axis; word: the eight bytes at each place."""
+    return _mix(word[..., :m] * _M[0] ^ _mix(word[..., 8 : 8 + m], _M[1]) ^ word[..., K - 8 : K - 8 + m] * _M[2], _M[3])
 
 
 def fragments(flat: np.ndarray, doc: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,10 +70,19 @@ def fragments(flat: np.ndarray, doc: np.ndarray, ends: np.ndarray, length: int)
 
     doc numbers the bytes, ends are the documents' ends in flat.
     """
+    n, w = len(flat), length - K + 1
     none = np.zeros(0, np.int64)
-    if len(flat) < length:
+    if n < length:
         return np.zeros(0, np.uint64), none, none
-    h, at, _ = anchors(flat, length)
+    m = n - K + 1
+    h = _hashes(np.ndarray((n - 7,), "<u8", np.ascontiguousarray(flat), 0, (1,)), m)
+    low, span = (h & ~_POS) | np.arange(m, dtype=np.uint64), 1
+    while 2 * span <= w:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < w:
+        low = np.minimum(low[: m - w + 1], low[w - span : w - span + m - w + 1])
+    at = (low & _POS).astype(np.int64)
     starts = np.arange(len(at))
     ok = starts + length <= ends[doc[: len(at)]]
     at, starts = at[ok], starts[ok]
@@ -107,12 +93,29 @@ def fragments(flat: np.ndarray, doc: np.ndarray, ends: np.ndarray, length: int)
 
 def split(flat: np.ndarray, length: int, anchor: np.ndarray, start: np.ndarray, n_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first start, starts, number of the fragment) of fragments cut by their strings' second anchors."""
-    h, _, at = anchors(flat, length, second=True)
+    w, width = length - K + 1, 2 * length - K
+    rows = np.concatenate([flat, np.zeros(width, np.uint8)])[start[:, None] + np.arange(width)]
+    m = width - K + 1
+    h = _hashes(np.ndarray((len(rows), width - 7), "<u8", rows, 0, (width, 1)), m)
+    low, span = (h & ~_POS) | np.arange(m, dtype=np.uint64), 1
+    next_ = np.full(low.shape, ~np.uint64(0))
+
+    def least(i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
+        a, b = low[:, i], low[:, j]
+        more = np.minimum(next_[:, i], next_[:, j])
+        return np.minimum(a, b), np.where(a == b, more, np.minimum(np.maximum(a, b), more))  # a place may be in both spans
+
+    while 2 * span <= w:
+        low, next_ = least(slice(None, -span), slice(span, None))
+        span *= 2
+    if span < w:
+        low, next_ = least(slice(0, m - w + 1), slice(w - span, w - span + m - w + 1))
     of = np.repeat(np.arange(len(start)), n_starts)
-    starts = np.arange(len(of)) + np.repeat(start - (np.cumsum(n_starts) - n_starts), n_starts)
-    at = at[starts]
+    inside = np.arange(len(of)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
+    at = (next_[of, inside] & _POS).astype(np.int64)
     first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
-    return _mix(anchor[of[first]] * _M[2] ^ h[at[first]], _M[0]), starts[first], np.diff(first, append=len(of)), of[first]
+    of = of[first]
+    return _mix(anchor[of] * _M[2] ^ h[of, at[first]], _M[0]), start[of] + inside[first], np.diff(first, append=len(at)), of
 
 
 def rows_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -251,34 +254,49 @@ def _short(anchor: np.ndarray) -> np.ndarray:
 def _ask(length: int):
     def encode(held: list[pa.RecordBatch], buckets: int) -> tuple[bytes, dict[int, bytes]]:
         ids, absent, prints, texts = _identity(held)
-        cuts = list(_cuts(texts, length))
-        anchor = np.concatenate([np.zeros(0, np.uint64), *(c[1] for c in cuts)])
-        doc = np.concatenate([np.zeros(0, np.int64), *(c[4] for c in cuts)])
+        anchor, doc, form = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for flat, a, start, size, d, _ in _cuts(texts, length):
+            word = np.ndarray((max(len(flat) - 7, 0),), "<u8", np.ascontiguousarray(flat), 0, (1,))
+            anchor.append(a)
+            doc.append(d)
+            # a few bits by which fragments of an anchor differ: of its first and last bytes
+            form.append(_mix(word[start] * _M[0] ^ word[start + size - 8], _M[1]) >> np.uint64(64 - FORM_BITS) if len(start) else form[0])
+        anchor, doc, form = (np.concatenate(x) for x in (anchor, doc, form))
         bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        order = np.lexsort((form, _short(anchor), doc, bucket))
+        bucket, doc, short, form = bucket[order], doc[order], _short(anchor)[order], form[order].astype(np.uint16)
+        new = (np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0) | (np.diff(short, prepend=~short[:1]) != 0) | (np.diff(form, prepend=~form[:1]) != 0)
+        bucket, doc, short, form = bucket[new], doc[new], short[new], form[new]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
         parts = {}
         for b in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[b] : edges[b + 1]]
-            pair = np.unique(doc[mine].astype(np.uint64) << np.uint64(32) | _short(anchor[mine]))
-            parts[int(b)] = pack(narrow(pair >> np.uint64(32)), pair.astype(np.uint32))
+            mine = slice(edges[b], edges[b + 1])
+            parts[int(b)] = pack(narrow(doc[mine]), short[mine], form[mine])
         return pack(ids, absent, prints), parts
 
     return encode
 
 
 def _repeated(blobs: list[bytes]) -> list[bytes | None]:
-    """Of each chunk's (document, anchor) those whose anchor another document has, and whether more than HOT have it."""
+    """Of each chunk's (document, anchor) those whose anchor another document has, and whether it has more than HOT forms."""
     got = [unpack(x) for x in blobs]
-    short = np.concatenate([np.zeros(0, np.uint32), *(g[1] for g in got)])
-    order = np.argsort(short, kind="stable")
-    first = np.flatnonzero(np.diff(short[order], prepend=~short[order][:1]))
-    times = np.zeros(len(short), np.int64)
-    size = np.diff(first, append=len(short))
-    times[order] = np.repeat(size, size)
+    if not got:
+        return []
+    short, form = (np.concatenate([g[i] for g in got]) for i in (1, 2))
+    first_here = np.concatenate([(np.diff(g[0].astype(np.int64), prepend=-1) != 0) | (np.diff(g[1], prepend=~g[1][:1]) != 0) for g in got])
+    order = np.lexsort((form, short))
+    by_anchor = np.flatnonzero(np.diff(short[order], prepend=~short[order][:1]))
+    size = np.diff(by_anchor, append=len(short))
+    new_form = (np.diff(short[order], prepend=~short[order][:1]) != 0) | (np.diff(form[order], prepend=form[order][:1]) != 0)
+    times, forms = np.zeros(len(short), np.int64), np.zeros(len(short), np.int64)
+    times[order] = np.repeat(np.add.reduceat(first_here[order].astype(np.int64), by_anchor), size)
+    forms[order] = np.repeat(np.add.reduceat(new_form.astype(np.int64), by_anchor), size)
     cuts = np.cumsum([0, *(len(g[1]) for g in got)])
-    here = [times[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    return [pack(narrow(doc[n > 1]), a[n > 1], (n[n > 1] > HOT).astype(np.uint8)) if (n > 1).any() else None for (doc, a), n in zip(got, here, strict=True)]
+    keep, out = first_here & (times > 1), []
+    for (doc, a, _), i, j in zip(got, cuts[:-1], cuts[1:], strict=True):
+        k = keep[i:j]
+        out.append(pack(narrow(doc[k]), a[k], (forms[i:j][k] > HOT).astype(np.uint8)) if k.any() else None)
+    return out
 
 
 def _by_document(base: bytes, parts: list[bytes]) -> pa.Table:
