@@ -1,4 +1,4 @@
-"""Packed numbers, hashes, colours, vectors, weights and ADPCM as Column expressions."""
+"""Packed numbers, hashes, colours, vectors and weights as Column expressions."""
 
 from __future__ import annotations
 
@@ -53,6 +53,9 @@ def path_hash(path: Column, seed: int = 0) -> Column:
     return F.aggregate(octets, first, step, lambda h: F.concat(digits(h["hi"]), digits(h["lo"])))
 
 
+#: Coefficients of the filmic curve and of sRGB, in tone_map and srgb.
+
+
 def tone_map(x: Column) -> Column:
     """Filmic curve of a linear value: 0 for NaN and below, at most 1."""
     x = F.when(F.isnan(x), 0.0).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(65504.0)))
@@ -94,21 +97,3 @@ def renormalized(w: Column, target: int = 255) -> Column:
     fixed = F.transform(scaled, lambda x, i: F.when(i == top, F.greatest(F.least(x + rest, F.lit(target).cast("long")), F.lit(0).cast("long"))).otherwise(x))
     nothing = F.transform(w, lambda x, i: F.when(i == 0, F.lit(target).cast("long")).otherwise(F.lit(0).cast("long")))
     return F.when(total == 0, nothing).otherwise(fixed)
-
-
-def adpcm_fold(codes: Column) -> Column:
-    """Samples of 4-bit IMA ADPCM codes, from predictor 0 and step 0."""
-    steps, moves = (F.array(*[F.lit(x) for x in t]) for t in (IMA_STEPS, IMA_INDEX))
-    bit = lambda c, b: c.bitwiseAND(b) != 0
-    clip = lambda x, lo, hi: F.greatest(F.least(x, F.lit(hi)), F.lit(lo)).cast("int")
-
-    def step(s: Column, code: Column) -> Column:
-        size = F.element_at(steps, s["at"] + 1)
-        part = lambda b, n: F.when(bit(code, b), F.shiftright(size, n)).otherwise(0)
-        diff = F.shiftright(size, 3) + part(1, 2) + part(2, 1) + part(4, 0)
-        value = clip(s["value"] + F.when(bit(code, 8), -diff).otherwise(diff), -32768, 32767)
-        at = clip(s["at"] + F.element_at(moves, code.bitwiseAND(7) + 1), 0, len(IMA_STEPS) - 1)
-        return F.struct(value.alias("value"), at.alias("at"), F.concat(s["out"], F.array(value)).alias("out"))
-
-    first = F.struct(F.lit(0).alias("value"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(codes, first, step, lambda s: s["out"])

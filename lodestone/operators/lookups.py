@@ -19,6 +19,19 @@ def resolve_names(refs: DataFrame, pool: DataFrame, index: str, number: str, out
     return both.withColumn(out, resolve_name(F.col("_name"), F.col(index), F.col(number))).drop("_idx", "_name")
 
 
+def strict_names(refs: DataFrame, pool: DataFrame, index: str, number: str, out: str = "resolved") -> DataFrame:
+    """As resolve_names; an index outside the pool is an error when its row is read."""
+    named = resolve_names(refs, pool, index, number, "_text")
+    missing = F.col("_text").isNull() | F.startswith("_text", F.lit("<oob:"))
+    return named.withColumn(out, F.when(missing, F.raise_error(F.concat(F.lit("name index "), F.coalesce(F.col(index).cast("string"), F.lit("null")), F.lit(" is outside the pool")))).otherwise(F.col("_text"))).drop("_text")
+
+
+def children_of(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """nodes (id, ...) that have children (child, parent), with these in order."""
+    lists = children.groupBy(F.col("parent").alias("id")).agg(F.array_sort(F.collect_list("child")).alias("children"))
+    return nodes.join(lists, "id")
+
+
 def resolve_refs(refs: DataFrame, ref: str, imports: DataFrame, exports: DataFrame, out: str = "target") -> DataFrame:
     """Signed references: 0 is Null, n > 0 the export n - 1, n < 0 the import -n - 1; tables are (idx, name)."""
     r = F.col(ref)
@@ -51,15 +64,25 @@ def range_cells(ranges: DataFrame, width: int) -> DataFrame:
     return cells.groupBy("_cell", lo.alias("lo"), hi.alias("hi")).agg(F.max("ordinal").alias("ordinal"))
 
 
+def range_segments(ranges: DataFrame, width: int) -> DataFrame:
+    """Disjoint (_cell, lo, hi, owner) of ranges (lo, hi, ordinal): what of each cell has one owner, the last ordinal that covers it."""
+    cells = range_cells(ranges, width)
+    points = cells.select("_cell", F.explode(F.array("lo", "hi")).alias("at")).distinct()
+    cuts = points.withColumn("end", F.lead("at").over(Window.partitionBy("_cell").orderBy("at"))).filter("end IS NOT NULL")
+    covered = cuts.join(cells, "_cell").filter("lo <= at AND end <= hi").groupBy("_cell", "at", "end").agg(F.max("ordinal").alias("owner"))
+    return covered.select("_cell", F.col("at").alias("lo"), F.col("end").alias("hi"), "owner")
+
+
 def range_owner(values: DataFrame, value: str, ranges: DataFrame, width: int) -> DataFrame:
     """values with owner: of the half-open ranges (lo, hi, ordinal) that hold value, the one of the last ordinal.
 
-    Ranges are cut into cells of `width`, so the join is an equality of cells.
+    Ranges are cut into cells of `width` and there into segments of one owner, so the join is an
+    equality of cells in which a value meets one segment at most.
     """
-    cells = range_cells(ranges, width)
-    rows = values.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cell", F.floor(F.col(value) / width))
-    hits = rows.select("_row", "_cell", F.col(value).alias("_v")).join(cells, "_cell").filter("_v >= lo AND _v < hi").groupBy("_row").agg(F.max("ordinal").alias("owner"))
-    return rows.join(hits, "_row", "left").drop("_row", "_cell")
+    segments = range_segments(ranges, width)
+    rows = values.withColumn("_at", F.floor(F.col(value) / width))
+    inside = (F.col("_at") == F.col("_cell")) & (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))
+    return rows.join(segments, inside, "left").drop("_at", "_cell", "lo", "hi")
 
 
 def layered(local: DataFrame, registry: DataFrame, key: str, order: str) -> DataFrame:
@@ -78,16 +101,26 @@ def cross_check(left: DataFrame, right: DataFrame, key: str, value: str) -> Data
     return both.select(key, fault.alias("fault")).filter("fault IS NOT NULL")
 
 
-def closure(parents: DataFrame, depth: int = 64) -> DataFrame:
-    """(root, node, depth) of every chain child -> parent of (node, parent), at most depth steps; a step that would return to a node already in the chain ends it."""
+def closure(parents: DataFrame, most: int = 64) -> DataFrame:
+    """(root, node, depth, truncated) of every chain child -> parent of (node, parent), of at most `most` nodes.
+
+    A step that would return to a node already in the chain ends it. truncated: the chain of this
+    root has `most` nodes and the last one has a parent still. The session's limit of rows that a
+    recursion may make is lifted, as `most` bounds its steps.
+    """
     spark = parents.sparkSession
-    name = "_lodestone_parents"
-    parents.select("node", "parent").createOrReplaceTempView(name)
-    return spark.sql(f"""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    chains = spark.sql(
+        f"""
         WITH RECURSIVE chain(root, node, depth, seen) AS (
-          SELECT node, node, 0, array(node) FROM {name}
+          SELECT node, node, 0, array(node) FROM {{p}}
           UNION ALL
           SELECT c.root, p.parent, c.depth + 1, array_append(c.seen, p.parent)
-          FROM chain c JOIN {name} p ON c.node = p.node
-          WHERE p.parent IS NOT NULL AND c.depth < {depth} AND NOT array_contains(c.seen, p.parent))
-        SELECT root, node, depth FROM chain""")
+          FROM chain c JOIN {{p}} p ON c.node = p.node
+          WHERE p.parent IS NOT NULL AND c.depth < {most - 1} AND NOT array_contains(c.seen, p.parent))
+        SELECT root, node, depth FROM chain""",
+        p=parents.select("node", "parent"),
+    )
+    more = parents.filter("parent IS NOT NULL").select("node").distinct()
+    cut = chains.filter(F.col("depth") == most - 1).join(more, "node").select("root", F.lit(True).alias("cut")).distinct()
+    return chains.join(cut, "root", "left").select("root", "node", "depth", F.coalesce("cut", F.lit(False)).alias("truncated"))

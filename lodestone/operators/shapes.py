@@ -41,6 +41,17 @@ def even_buckets(samples: DataFrame, key: str, order: Sequence[str], value: str,
     return samples.withColumn("bucket", bucket).groupBy(key, "bucket").agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def waveform(frames: DataFrame, key: str, frame: str, channels: Sequence[str], columns: int) -> DataFrame:
+    """Least and largest mean of the channels in each of `columns` even buckets of a key's frames, numbered from 0.
+
+    The frames' number is an aggregate of its own, so a key with most of the rows is no task of its own.
+    """
+    mean = sum((F.col(c) for c in channels[1:]), F.col(channels[0])) / len(channels)
+    n = frames.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    bucket = F.floor(F.col(frame) * F.least("_n", F.lit(columns)) / F.col("_n"))
+    return frames.select(key, F.col(frame), mean.alias("_mean")).join(n, key).groupBy(key, bucket.alias("bucket")).agg(F.min("_mean").alias("low"), F.max("_mean").alias("high"))
+
+
 def component_bounds(rows: DataFrame, vec: str) -> DataFrame:
     """Least and largest of each component (dim from 0)."""
     return rows.select(F.posexplode(vec).alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
@@ -70,6 +81,19 @@ def dirs_first(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("place", F.row_number().over(w))
 
 
+def shown(nodes: DataFrame, expanded: Sequence[str]) -> DataFrame:
+    """The nodes of path_nodes that a tree shows when the given folders are open: those whose ancestors all are, in order of the whole path with folders first.
+
+    place: one string that sorts so, of a mark and a label for each step.
+    """
+    parts = F.split("node", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    open_ = F.array(*map(F.lit, expanded)) if expanded else F.array().cast("array<string>")
+    seen = (F.col("depth") == 1) | F.forall(F.when(F.col("depth") > 1, ups).otherwise(F.array().cast("array<string>")), lambda u: F.array_contains(open_, u))
+    marks = F.transform(parts, lambda x, i: F.concat(F.when((i == F.size(parts) - 1) & F.col("is_file"), "1").otherwise("0"), x))
+    return nodes.filter(seen).withColumn("place", F.array_join(marks, "\x01")).orderBy("place")
+
+
 def rules_hold(tests: Sequence[Column]) -> Column:
     """All tests, and at least one: without rules nothing is detected."""
     out = F.lit(bool(tests))

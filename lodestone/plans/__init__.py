@@ -1 +1,3 @@
-"""See the package README for what lives here."""
+"""Queries over the given tables, each with its SQL twin."""
+
+from . import assets, catalog  # noqa: F401

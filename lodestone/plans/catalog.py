@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import numeric, paths
+from lodestone.functions import audio, numeric, paths
 from lodestone.operators import entries, lookups, shapes
 from lodestone.session import table
 
@@ -288,7 +288,7 @@ def inherit_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     edges = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("parent"))
     edges = edges.union(region.select("r_name", F.lit("World"))).union(region.select(F.lit("World"), F.lit(None).cast("string")).distinct())
-    return lookups.closure(edges)
+    return lookups.closure(edges).drop("truncated")
 
 
 @query(f"""WITH {CATALOG}, e AS (SELECT DISTINCT string_split(path, '/') AS p FROM cat), x AS (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM e),
@@ -349,7 +349,7 @@ SELECT user_id, list(v ORDER BY i) AS samples FROM d WHERE i > 0 GROUP BY user_i
 def adpcm_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select("user_id", "event_id", (F.col("event_id") % 16).cast("int").alias("code"))
     codes = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "code"))), lambda x: x["code"])
-    return events.groupBy("user_id").agg(codes.alias("codes")).select("user_id", numeric.adpcm_fold(F.col("codes")).alias("samples"))
+    return events.groupBy("user_id").agg(codes.alias("codes")).select("user_id", audio.ima_fold(F.col("codes")).alias("samples"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity, grouping(l_returnflag, l_linestatus)::INTEGER AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
