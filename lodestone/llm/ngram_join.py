@@ -117,7 +117,7 @@ _BLOCK = 1 << 16
 
 def shingle_costs(docs: DataFrame, n: int, n_bytes: int) -> Costs:
     """Counts of all shingles of docs (id, text) by cell: summed in tasks, by groups of tasks, and in all."""
-    bits = min(max(-(-n_bytes // CELL_BYTES).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+    bits = min(max((n_bytes // CELL_BYTES).bit_length(), CELL_BITS[0]), CELL_BITS[1])
     cells, group = 1 << bits, max(1, ceil(docs.rdd.getNumPartitions() ** 0.5))
     shift = np.uint64(64 - bits)
 
@@ -365,7 +365,7 @@ def jaccard_components(docs: DataFrame, t: float = 0.75, n: int = 5, id_col: str
     costs = shingle_costs(rows, n, n_bytes)
     while True:
         sent = rows.mapInArrow(_publish(Bands(t, widen), costs, n, buckets), "bucket int, blob binary")
-        found = staged(sent.groupBy("bucket").applyInArrow(_lists, FOUND), "candidates")
+        found = staged(sent.groupBy("bucket").applyInArrow(_lists, FOUND), "candidates", by="kind")
         short = [r[0] for r in found.filter("kind = 'short'").select("a").distinct().collect()]  # bands: a few dozen at most
         if not short:
             break

@@ -25,8 +25,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: a lineage cut that survives lost executors."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: a lineage cut that survives lost executors.
+
+    by: a column of few values, each of which gets files of its own, so that a filter on it reads these only.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -284,10 +284,9 @@ def test_quality_learns_from_the_whole_sample(spark, monkeypatch):
 # language model
 
 
-def test_lm_scores(spark, odd_rows):
-    docs = frame(spark, odd_rows)
-    fold = quality.bucket_of(F.col("doc_id"), 7)
-    words = [(i, re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["</s>"]) for i, t in odd_rows]
+def brute_scores(rows, g2=500, g3=20):
+    """(id as text, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row by the model's formula."""
+    words = [(i, re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["</s>"]) for i, t in rows]
     train = [w for i, w in words if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(x for w in train for x in w)
     runs = lambda k: Counter(p for w in train for p in zip(*[(["<s>"] * (k - 1) + w)[j:] for j in range(k)], strict=False))
@@ -299,19 +298,26 @@ def test_lm_scores(spark, odd_rows):
     most = Counter()
     for x, k in cell.items():
         most[k] = max(most[k], int(lm.count_code(np.array([before[x]]))[0]))
-    s = lambda x: 20.0 / (2 ** (most[int(lm.hashes([spelled(x)])[0]) >> (64 - lm.CELL_BITS)] / lm.OCTAVE) + 500)
+    s = lambda x: g3 / (2 ** (most[int(lm.hashes([spelled(x)])[0]) >> (64 - lm.CELL_BITS)] / lm.OCTAVE) + g2)
 
     def p3(a, b, x):
         opens = len(train) if (a, b) == ("<s>", "<s>") else pairs[a, b]
-        return (triples[a, b, x] + s(b) * (pairs[b, x] + 500 * (c[x] + 1) / (n + v + 1))) / (opens + s(b) * (before[b] + 500))
+        return (triples[a, b, x] + s(b) * (pairs[b, x] + g2 * (c[x] + 1) / (n + v + 1))) / (opens + s(b) * (before[b] + g2))
 
-    unknown = s("<s>") * 500 / (n + v + 1) / (len(train) + s("<s>") * (len(train) + 500))
+    unknown = s("<s>") * g2 / (n + v + 1) / (len(train) + s("<s>") * (len(train) + g2))
     assert sum(p3("<s>", "<s>", x) for x in c) + unknown == pytest.approx(1)
     want = []
     for i, w in words:
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
         score = sum(math.log10(p3(*p)) for p in zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False))
         want.append((str(i), bool(i is not None and zlib.crc32(str(i).encode()) % 7 == 2), len(w), sum(c[x] > 0 for x in w), n, base, score))
+    return want
+
+
+def test_lm_scores(spark, odd_rows):
+    docs = frame(spark, odd_rows)
+    fold = quality.bucket_of(F.col("doc_id"), 7)
+    want = brute_scores(odd_rows)
     got = sorted((str(r[0]), *r[1:]) for r in lm.lm_scores(docs, fold != 2, fold == 2, buckets=4).collect())
     for g, w in zip(got, sorted(want), strict=True):
         assert g[:5] == w[:5]
@@ -631,6 +637,80 @@ def test_query_equals_sql(spark, sf_dir, name):
     same(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL[name])
 
 
+def documents(spark, sf_dir):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+
+
+def rows_of(spark, sf_dir, name):
+    df = queries.QUERIES[name](spark, sf_dir)
+    return df.columns, [tuple(r) for r in df.collect()]
+
+
+def test_op2_query(spark, sf_dir):
+    columns, got = rows_of(spark, sf_dir, "op2_suffix_dedup")
+    assert columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert Counter(got) == Counter(brute_spans(documents(spark, sf_dir), 50))
+    assert any(r[2] for r in got)
+
+
+def test_op4_query(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tok, want = Tokenizer.from_file(BYTE), []
+    for i, t in documents(spark, sf_dir):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
+    columns, got = rows_of(spark, sf_dir, "op4_bpe")
+    assert columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert Counter(got) == Counter(want)
+
+
+def test_op5_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    columns, got = rows_of(spark, sf_dir, "op5_quality")
+    assert columns == ["doc_id", "held_out", "score", "predicted"]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    assert Counter(r[0] for r in got) == Counter(i for i, _ in documents(spark, sf_dir))
+    for i, held_out, score, predicted in got:
+        assert held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert 0 <= score <= 1
+        assert predicted == int(score >= 0.7)
+    held = [(score, labels[i]) for i, held_out, score, _ in got if held_out and labels.get(i) is not None]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert min(len(good), len(bad)) > 10
+    assert sum(g > b for g in good for b in bad) > 0.98 * len(good) * len(bad)
+
+
+def test_op6_query(spark, sf_dir):
+    columns, got = rows_of(spark, sf_dir, "op6_lm_scoring")
+    assert columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    want = {r[0]: r[1:] for r in brute_scores(documents(spark, sf_dir))}
+    assert len(got) == len(want)
+    for i, *r in got:
+        w = want[str(i)]
+        assert tuple(r[:4]) == w[:4]
+        assert r[4] == pytest.approx(w[4], rel=1e-9)
+        assert -1e-3 * r[1] <= r[5] - w[5] <= 1e-9 * r[1]
+
+
+def test_op8_query(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD)
+    want = [(i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in documents(spark, sf_dir)]
+    columns, got = rows_of(spark, sf_dir, "op8_token_counts")
+    assert columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert Counter(got) == Counter(want)
+
+
+def test_op10_query(spark, sf_dir):
+    want = brute_components(documents(spark, sf_dir))
+    columns, got = rows_of(spark, sf_dir, "op10_ngram_join")
+    assert columns == ["doc_id", "n_shingles", "component_id"]
+    assert Counter(got) == Counter((i, sizes[0], home) for i, (home, sizes) in want.items())
+    assert any(i != home for i, _, home in got)
+
+
 def test_every_operator_has_a_query():
     assert {m[1] for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(map(str, range(1, 11)))
 
@@ -667,6 +747,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
             assert set(now) == set(before)
             assert all(r["ids"] == tok.encode(r["text"], add_special_tokens=False).ids for r in now.values())
     assert len(left["mixing"]) < len(left["near_dedup"])
+    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == {i: r["ids"] for i, r in left["bpe"].items()}
 
 
 def test_clashing_columns(spark):
