@@ -57,10 +57,12 @@ from .scratch import staged
 #: Bands that start here or below have one-deletion neighbourhoods for sets without cheap signatures.
 SMALL = 16
 #: Cells of the table of shingle counts: a cell for so many bytes of text, within these powers of two; codes to an octave.
-CELL_BYTES, CELL_BITS, OCTAVE = 64, (12, 22), 8
+CELL_BYTES, CELL_BITS, OCTAVE = 64, (12, 25), 8
 #: A signature is dear if its list may be longer than this and than this many times a cell's mean.
 DEAR, DEAR_MEANS = 64, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd factors of the words of a shingle by place.
+_PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,8 +93,10 @@ def windows(text: str | None, n: int = 5) -> np.ndarray:
     k = min(n, len(words))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = mix(out + h[i : len(h) - k + 1 + i])
-    return out
+        out += h[i : len(h) - k + 1 + i] * _PLACES[i % len(_PLACES)]
+        if i % len(_PLACES) == len(_PLACES) - 1:
+            out = mix(out)
+    return mix(out)
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
@@ -122,10 +126,11 @@ def shingle_costs(docs: DataFrame, n: int, n_bytes: int) -> Costs:
     shift = np.uint64(64 - bits)
 
     def count(batches):
-        total, task = np.zeros(cells, np.int64), TaskContext.get().partitionId()
+        total, task = np.zeros(cells, np.uint32), TaskContext.get().partitionId()
         for batch in batches:
-            held = [windows(t, n) for t in batch.column(1).to_pylist()]
-            total += np.bincount((np.concatenate([np.zeros(0, np.uint64), *held]) >> shift).astype(np.int64), minlength=cells)
+            held = np.sort(np.concatenate([np.zeros(0, np.uint64), *(windows(t, n) for t in batch.column(1).to_pylist())]) >> shift)
+            first = np.flatnonzero(np.diff(held, prepend=~held[:1]))
+            total[held[first].astype(np.int64)] += np.diff(first, append=len(held)).astype(np.uint32)
         blocks = [total[i : i + _BLOCK] for i in range(0, cells, _BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), task % group, np.int32)), pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([pack(narrow(b)) for b in blocks], pa.binary())], ["part", "block", "counts"])
 
@@ -174,29 +179,27 @@ class Bands:
 
 def signatures(s: np.ndarray, bands: Bands, costs: Costs = FREE) -> tuple[list[np.ndarray], list[int]]:
     """Keys that a set publishes, and the bands in which they cannot cover its budget."""
-    out, short, cost = [], [], costs.of(s)
+    out, short, cost, high, hashed = [], [], costs.of(s), s >> np.uint64(32), mix(s)
     for k in bands.met(len(s)):
         m, need = bands.segments(k), bands.budget(len(s), k)
-        seg = (s >> np.uint64(11)) % np.uint64(m)
-        order = np.argsort(seg, kind="stable")
-        seg, h = seg[order], mix(s[order])
-        first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        size = np.diff(np.concatenate([first, [len(s)]]))
-        sums, tag = np.add.reduceat(h, first), seg[first] * np.uint64(1 << 12) + np.uint64(k)
-        keys, dear = mix(sums ^ mix(tag)), np.minimum.reduceat(cost[order], first)
+        seg = (high * np.uint64(m)) >> np.uint64(32)  # segments are ranges of hashes, so they rise with the set
+        first = np.flatnonzero(np.diff(seg, prepend=~seg[:1]))
+        size = np.diff(first, append=len(s))
+        sums, tag = np.add.reduceat(hashed, first), mix(seg[first] * np.uint64(1 << 12) + np.uint64(k))
+        keys, dear = mix(sums ^ tag) >> np.uint64(10), np.minimum.reduceat(cost, first)
         if bands.starts[k] <= SMALL and (dear < costs.dear).sum() < need:
             owner = np.repeat(np.arange(len(first)), size)
             less = size[owner] > 1
-            keys = np.concatenate([keys, mix((sums[owner] - h)[less] ^ mix(tag[owner][less]))])
+            keys = np.concatenate([keys, mix((sums[owner] - hashed)[less] ^ tag[owner][less]) >> np.uint64(10)])
             if np.minimum(size, 2).sum() < need:
                 short.append(k)
         elif len(keys) < need:
             short.append(k)
         else:
-            # of equal costs those of most shingles first; beyond three they count alike
-            rank = np.lexsort((keys, -np.minimum(size, 3), dear))
-            keys = keys[rank[:need]]
-        out.append(keys)
+            # of equal costs those of most shingles first, beyond three they count alike; then by the key
+            ranked = (dear.astype(np.uint64) << np.uint64(56)) | ((3 - np.minimum(size, 3)).astype(np.uint64) << np.uint64(54)) | keys
+            keys = np.partition(ranked, need - 1)[:need] & np.uint64((1 << 54) - 1)
+        out.append(mix(keys))
     return out, short
 
 

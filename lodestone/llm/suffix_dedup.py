@@ -46,7 +46,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 LAST_ID = (1 << 63) - 1
 K = 24
 #: Forms of an anchor's fragments beyond which it is split by a second one, and the bits that tell forms apart.
-HOT, FORM_BITS = 256, 12
+HOT, FORM_BITS = 128, 8
 #: Bytes that are cut at once, and symbols that are merged at once.
 RUN, MERGE = 1 << 20, 1 << 22
 CHUNK = 8 << 20
@@ -156,11 +156,21 @@ def shard_transform(symbols: np.ndarray, size: np.ndarray, depth: int) -> tuple[
     m, width = symbols.shape
     string = np.repeat(np.arange(m), size + 1)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-    wide = np.zeros((m, width + depth + 16), np.uint8)
+    # places by the first 8 symbols, then by twice as many each time, as a suffix's place and that of the one behind those symbols
+    wide = np.zeros((m, width + 8), np.uint8)
     wide[:, :width] = symbols
-    eight = np.ndarray((m, wide.shape[1] - 7), ">u8", wide, 0, (wide.shape[1], 1))
-    keys = [eight[string, offset + j].astype(np.uint64) for j in range(0, depth + 1, 8)]
-    order = np.lexsort(keys[::-1])
+    key = np.ndarray((m, width + 1), ">u8", wide, 0, (wide.shape[1], 1))[string, offset].astype(np.uint64)
+    first, left, known = np.cumsum(size + 1) - size - 1, np.repeat(size, size + 1) - offset, 8
+    while True:
+        order = np.argsort(key)
+        border = np.diff(key[order], prepend=~key[order][:1]) != 0
+        if known > depth or border.all():
+            break
+        place = np.empty(len(key), np.int64)
+        place[order] = np.cumsum(border)
+        step = min(known, depth + 1 - known)
+        behind = np.where(left >= step, place[first[string] + np.minimum(offset + step, size[string])], 0)
+        key, known = (place.astype(np.uint64) << np.uint64(32)) | behind.astype(np.uint64), known + step
     string, offset = string[order], offset[order]
     return string, offset, np.where(offset > 0, symbols[string, offset - 1], 0).astype(np.uint8)
 
@@ -251,6 +261,11 @@ def _short(anchor: np.ndarray) -> np.ndarray:
     return (anchor >> np.uint64(32)).astype(np.uint32)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each x is in known, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
 def _ask(length: int):
     def encode(held: list[pa.RecordBatch], buckets: int) -> tuple[bytes, dict[int, bytes]]:
         ids, absent, prints, texts = _identity(held)
@@ -264,7 +279,7 @@ def _ask(length: int):
         anchor, doc, form = (np.concatenate(x) for x in (anchor, doc, form))
         bucket = (anchor % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((form, _short(anchor), doc, bucket))
-        bucket, doc, short, form = bucket[order], doc[order], _short(anchor)[order], form[order].astype(np.uint16)
+        bucket, doc, short, form = bucket[order], doc[order], _short(anchor)[order], form[order].astype(np.uint8)
         new = (np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0) | (np.diff(short, prepend=~short[:1]) != 0) | (np.diff(form, prepend=~form[:1]) != 0)
         bucket, doc, short, form = bucket[new], doc[new], short[new], form[new]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -319,12 +334,12 @@ def _encode(length: int):
         ids, absent, prints, texts = _identity(held)
         shared = [np.frombuffer(x, np.uint64) for b in held for x in b.column(3).to_pylist()]
         low, top = np.uint64((1 << 32) - 1), np.uint64(1 << 32)
-        known = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i << 32) | (x & low) for i, x in enumerate(shared))])
-        hot = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i << 32) | (x[x >= top] & low) for i, x in enumerate(shared))])
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i << 32) | (x & low) for i, x in enumerate(shared))]))
+        hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i << 32) | (x[x >= top] & low) for i, x in enumerate(shared))]))
         got = [(np.zeros(0, np.uint64), *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2, np.zeros((0, width), np.uint8))]
         for flat, anchor, start, size, doc, shift in _cuts(texts, length):
             name = doc.astype(np.uint64) << np.uint64(32) | _short(anchor)
-            keep, many = np.isin(name, known), np.isin(name, hot)
+            keep, many = _among(name, known), _among(name, hot)
             if many.any():
                 cut, at, n_starts, of = split(flat, length, anchor[many], start[many], size[many] - length + 1)
                 keep &= ~many
