@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def connected(edges: DataFrame) -> DataFrame:
     now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
-        now = staged(_star(_star(now, True), False), "stars")
+        before, now = now, staged(_star(_star(now, True), False), "stars")
+        discard(before)
         got = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if got == mark or not got[0]:
             break

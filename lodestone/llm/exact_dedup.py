@@ -41,7 +41,8 @@ class DigestIndex:
     """Digests seen so far, with the id of the row that stays for each.
 
     buckets is fixed when the index is made; size it so that one bucket fits a task (about 60
-    bytes a distinct text). By default it is the session's number of shuffle partitions.
+    bytes a distinct text). By default it is the session's number of shuffle partitions. An index
+    with a name is a table of the warehouse and outlasts the session; one without lies in the scratch folder.
     """
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
@@ -51,7 +52,7 @@ class DigestIndex:
         if not spark.catalog.tableExists(self.table):
             spark.sql(
                 f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{shared_path(spark, 'digest-index')}'"
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS" + ("" if table else f" LOCATION '{shared_path(spark, 'digest-index')}'")
             )
 
     def rows(self) -> DataFrame:

@@ -52,12 +52,14 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .postings import bucket_count, chunked, home_bucket, input_bytes, narrow, pack, unpack
-from .scratch import staged
+from .scratch import discard, staged
 
 #: Bands that start here or below have one-deletion neighbourhoods for sets without cheap signatures.
 SMALL = 16
+#: Buckets of keys at least: a pair comes from every bucket that holds one of its keys, so with few buckets its repeats would grow with their number.
+BUCKETS = 64
 #: Cells of the table of shingle counts: a cell for so many bytes of text, within these powers of two; codes to an octave.
-CELL_BYTES, CELL_BITS, OCTAVE = 64, (12, 25), 8
+CELL_BYTES, CELL_BITS, OCTAVE = 128, (12, 25), 8
 #: A signature is dear if its list may be longer than this and than this many times a cell's mean.
 DEAR, DEAR_MEANS = 64, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -128,9 +130,10 @@ def shingle_costs(docs: DataFrame, n: int, n_bytes: int) -> Costs:
     def count(batches):
         total, task = np.zeros(cells, np.uint32), TaskContext.get().partitionId()
         for batch in batches:
-            held = np.sort(np.concatenate([np.zeros(0, np.uint64), *(windows(t, n) for t in batch.column(1).to_pylist())]) >> shift)
-            first = np.flatnonzero(np.diff(held, prepend=~held[:1]))
-            total[held[first].astype(np.int64)] += np.diff(first, append=len(held)).astype(np.uint32)
+            for i in range(0, len(batch), 256):
+                held = np.sort(np.concatenate([windows(t, n) for t in batch.column(1).slice(i, 256).to_pylist()]) >> shift)
+                first = np.flatnonzero(np.diff(held, prepend=~held[:1]))
+                total[held[first].astype(np.int64)] += np.diff(first, append=len(held)).astype(np.uint32)
         blocks = [total[i : i + _BLOCK] for i in range(0, cells, _BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), task % group, np.int32)), pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([pack(narrow(b)) for b in blocks], pa.binary())], ["part", "block", "counts"])
 
@@ -364,7 +367,7 @@ def jaccard_components(docs: DataFrame, t: float = 0.75, n: int = 5, id_col: str
     """doc_id, n_shingles, component_id of every row."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     n_bytes, widen = input_bytes(rows), {}
-    buckets = buckets or bucket_count(rows, n_bytes=n_bytes)
+    buckets = buckets or max(BUCKETS, bucket_count(rows, n_bytes=n_bytes))
     costs = shingle_costs(rows, n, n_bytes)
     while True:
         sent = rows.mapInArrow(_publish(Bands(t, widen), costs, n, buckets), "bucket int, blob binary")
@@ -390,6 +393,8 @@ def jaccard_components(docs: DataFrame, t: float = 0.75, n: int = 5, id_col: str
     rest = staged(bounded(rest, sketches, t), "open-pairs")
     more = verified(rest, texts, t, n)
     within = linked(more, within)
+    within = staged(within, "components")
+    discard(lists, pairs, texts, homes, rest)
     out = kind("doc").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return out.join(within.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

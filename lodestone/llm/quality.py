@@ -175,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
     n = known.count()
     cut = F.lit(min(1.0, sample_rows / max(n, 1)))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut * (1 << 20))
-    # sample_rows ids and labels at most, but for the spread of the draw
-    got = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(drawn), "doc_id").toPandas()
+    # sample_rows ids and labels at most, but for the spread of the draw, and of each id one row
+    got = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas()
     got = got.sort_values(["doc_id", "text"], kind="stable", na_position="first")
     texts, known = [t if isinstance(t, str) else None for t in got["text"]], got["label"].tolist()
     del got

@@ -373,6 +373,27 @@ def _encode(length: int):
     return encode
 
 
+def _may_share(rows: np.ndarray, size: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """Which fragments can share a string with another one of their anchor.
+
+    A shared string holds the anchor and length - k bytes around it, so half of them on one side: the
+    fragments of an anchor that are alone in what stands that near on either side share nothing.
+    """
+    n, w, half = len(rows), length - K + 1, (length - K + 1) // 2
+    if half < 8 or not n:
+        return np.ones(n, bool)
+    word = np.ndarray((n, rows.shape[1] - 7), "<u8", np.ascontiguousarray(rows), 0, (rows.shape[1], 1))
+    at = ((_hashes(word, w) & ~_POS) | np.arange(w, dtype=np.uint64)).argmin(axis=1)
+    i, out = np.arange(n), np.zeros(n, bool)
+    for known, near, far in ((at >= half, at - half, at - 8), (size - at - K >= half, at + K, at + K + half - 8)):
+        mine = i[known]
+        key = _mix(word[mine, near[mine]] * _M[0] ^ _mix(word[mine, far[mine]] ^ anchor[mine], _M[1]), _M[3])
+        order = np.argsort(key)
+        equal = key[order][1:] == key[order][:-1]
+        out[mine[order[1:][equal]]] = out[mine[order[:-1][equal]]] = True
+    return out
+
+
 def _solve(length: int):
     width = -(-(2 * length - K) // 8) * 8
 
@@ -411,6 +432,7 @@ def _solve(length: int):
         multi = np.concatenate([[False], sorted_[1:] == sorted_[:-1]]) if n else np.zeros(0, bool)
         multi |= np.concatenate([multi[1:], [False]]) if n else multi
         order = order[multi]
+        order = order[_may_share(rows[one[order]], size[one[order]], anchor[one[order]], length)]
         at = 0
         while at < len(order):  # whole anchors, about MERGE symbols at once
             stop = min(len(order), at + MERGE // width)
