@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from lodestone.llm.queries import tokenizer
-from lodestone.llm.scratch import staged
+from lodestone.llm.scratch import discard, scope, shared_path
 from lodestone.session import table
 
 #: A document is rejected if its score is below this.
@@ -56,7 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents; of what the stages stage, only the last one's input stays."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scope(spark):
+            left = stage(spark, docs, sf_dir)
+            path = shared_path(spark, f"stage-{name}")
+            left.write.parquet(path)
+        before, docs = docs, spark.read.schema(left.schema).parquet(path)
+        docs.staged_path = path
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
