@@ -24,14 +24,19 @@ def extension(path: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """An anchored regex for a glob whose *, ? and sets also match "/"."""
+    """An anchored regex for a glob whose *, ? and sets also match "/"; ** is a whole component, any number of folders, and an error elsewhere."""
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
+        if glob.startswith("**", i):
+            whole = (i == 0 or glob[i - 1] == "/") and glob[i + 2 : i + 3] in ("", "/")
+            if not whole:
+                raise ValueError(f"** is no component of its own: {glob!r}")
+            out.append(".*" if i + 2 == len(glob) else "(?:.*/)?")
+            i += 3
+            continue
         if c == "*":
             out.append(".*")
-            while glob[i + 1 : i + 2] == "*":
-                i += 1
         elif c == "?":
             out.append(".")
         elif c == "[" and (j := glob.find("]", i + 2 + (glob[i + 1 : i + 2] == "!"))) > 0:

@@ -106,6 +106,30 @@ def decode(fmt: str, data: bytes, width: int, height: int) -> bytes:
     return image[:height, :width].tobytes()
 
 
+def decode_slab(fmt: str, data: bytes, width: int, height: int, slices: int) -> bytes:
+    """RGBA8 of slices that follow each other, one below the other."""
+    each = encoded_length(fmt, width, height)
+    if slices < 1 or len(data) != each * slices:
+        raise ValueError(f"{len(data)} bytes of {each * slices}")
+    return b"".join(decode(fmt, data[i * each : (i + 1) * each], width, height) for i in range(slices))
+
+
+def stitched(tiles: list[bytes | tuple[int, int, int, int]], across: int, tile: int, border: int, width: int, height: int) -> bytes:
+    """RGBA8 of width x height from tiles in rows of `across`: bytes of a tile with a border on each side, or one colour; what reaches past the picture is cut."""
+    out, whole = np.zeros((height, width, 4), np.uint8), tile + 2 * border
+    for i, t in enumerate(tiles):
+        y, x = i // across * tile, i % across * tile
+        place = out[y : y + tile, x : x + tile]
+        if isinstance(t, tuple):
+            place[:] = t
+        else:
+            if len(t) != whole * whole * 4:
+                raise ValueError(f"{len(t)} bytes of a tile of {whole * whole * 4}")
+            inner = np.frombuffer(t, np.uint8).reshape(whole, whole, 4)[border : border + tile, border : border + tile]
+            place[:] = inner[: place.shape[0], : place.shape[1]]
+    return out.tobytes()
+
+
 def png(rgba: bytes, width: int, height: int) -> bytes:
     """An 8-bit RGBA PNG in sRGB."""
     part = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))

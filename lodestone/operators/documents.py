@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def navigate(doc: Column, path: str) -> Column:
     """The part of a VARIANT at a dotted path of keys and array indices; empty segments are skipped; null if a segment leads nowhere.
 
-    A number is a key of an object and an index of an array.
+    A number is a key of an object and an index of an array. Keys with both kinds of quotes cannot be named.
     """
     for segment in filter(None, path.split(".")):
-        quoted = segment.replace("\\", "\\\\").replace("'", "\\'")
-        steps = [F.try_variant_get(doc, f"$['{quoted}']", "variant")]
+        quote = '"' if "'" in segment else "'"
+        steps = [F.lit(None).cast("variant") if quote in segment else F.try_variant_get(doc, f"$[{quote}{segment}{quote}]", "variant")]
         if segment.isdecimal() and segment.isascii() and int(segment) < 1 << 31:
             steps.append(F.try_variant_get(doc, f"$[{int(segment)}]", "variant"))
         doc = F.coalesce(*steps)

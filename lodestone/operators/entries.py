@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def search(entries: DataFrame, ext: Sequence[str] = (), glob: str | None = None,
     if lo is not None and hi is not None and lo > hi:
         raise ValueError(f"least size {min_size} is over the largest {max_size}")
     if regex is not None:
-        re.compile(regex)
+        _check_regex(entries, regex)
     p, tests = F.col("path"), []
     if ext:
         tests.append(F.coalesce(paths.extension(p).isin(*[e.lower() for e in ext]), F.lit(False)))
@@ -40,6 +41,14 @@ def search(entries: DataFrame, ext: Sequence[str] = (), glob: str | None = None,
     return entries.filter(reduce(and_, tests)) if tests else entries
 
 
+def _check_regex(df: DataFrame, regex: str) -> None:
+    """ValueError now for what would fail in the job: the pattern is one of Java's."""
+    try:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(regex)
+    except (Py4JJavaError, IllegalArgumentException) as x:
+        raise ValueError(f"not a pattern: {regex!r}") from x
+
+
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """Entries of all sources, with their source."""
     return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("source"), *df.columns) for k, df in sorted(sources.items())])

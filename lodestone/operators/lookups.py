@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,19 +42,26 @@ def resolve_refs(refs: DataFrame, ref: str, imports: DataFrame, exports: DataFra
     return both.withColumn(out, F.coalesce(hit, F.concat(F.lit("<oob:"), r.cast("string"), F.lit(">")))).drop("_i", "_in", "_e", "_en")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_order: Sequence[str], value: str) -> DataFrame:
-    """left with value of the last row of right at or before left_at, per key; null where there is none.
+def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_order: Sequence[str], value: str, span: Callable[[Column], Column] | None = None) -> DataFrame:
+    """left with value of the last row of right at or before left_at, per key; null where there is none, and for null keys.
 
-    right_order starts with right's time and ends with a unique column. The two are laid over
-    each other and the last value is carried forward: one shuffle by key, no pairs.
+    right_order starts with right's time and ends with a unique column. The two are laid over each
+    other by key and span of time (a rising function of it, months unless given) and the last value
+    is carried forward inside; what a span inherits comes from the last values of the spans before.
+    No pairs are made, and a key with most of the rows is as many tasks as it has spans.
     """
-    at = right_order[0]
+    at, span = right_order[0], span or (lambda c: F.date_trunc("month", c))
     ties = [F.col(c) for c in right_order[1:]]
-    r = right.select(F.col(key), F.col(at).alias("_at"), F.lit(0).alias("_side"), F.struct(*ties).alias("_tie"), F.struct(F.col(value).alias("v")).alias("_v"))
-    lefts = left.select(F.col(key), F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
+    r = right.filter(F.col(key).isNotNull()).select(F.col(key), F.col(at).alias("_at"), span(F.col(at)).alias("_span"), F.lit(0).alias("_side"), F.struct(*ties).alias("_tie"), F.struct(F.col(value).alias("v")).alias("_v"))
+    lefts = left.select(F.col(key), F.col(left_at).alias("_at"), span(F.col(left_at)).alias("_span"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
     both = r.withColumn("_row", F.lit(None).cast(lefts.schema["_row"].dataType)).unionByName(lefts)
-    w = Window.partitionBy(key).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").select("_row.*", F.col("_last.v").alias(value))
+    w = Window.partitionBy(key, "_span").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").select(key, "_span", "_row", "_last")
+    ends = both.groupBy(key, "_span").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_end"), F.bool_or(F.col("_side") == 1).alias("_asks"))
+    before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), "_asks", F.last("_end", ignorenulls=True).over(before).alias("_carry")).filter("_asks")
+    out = inside.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_span").eqNullSafe(F.col("_s")))
+    return out.select("_row.*", F.coalesce("_last", "_carry")["v"].alias(value))
 
 
 def range_cells(ranges: DataFrame, width: int) -> DataFrame:

@@ -32,13 +32,28 @@ def joined_parts(parts: DataFrame, key: str, order: str, text: str, size: int |
     return parts.groupBy(key).agg(items.alias("_i"), length.alias("length")).select(key, F.array_join(F.transform("_i", lambda x: x["t"]), sep).alias("joined"), F.size("_i").cast("long").alias("n_parts"), "length")
 
 
-def even_buckets(samples: DataFrame, key: str, order: Sequence[str], value: str, columns: int) -> DataFrame:
-    """Least and largest value of each of `columns` even buckets of a key's ordered samples (fewer if the samples are)."""
-    w = Window.partitionBy(key)
-    n = F.count(F.lit(1)).over(w)
-    at = F.row_number().over(w.orderBy(*order)) - 1
-    bucket = F.floor(at * F.least(n, F.lit(columns)) / n).cast("long")
-    return samples.withColumn("bucket", bucket).groupBy(key, "bucket").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+def numbered(rows: DataFrame, key: str, order: Sequence[str], part: Column) -> DataFrame:
+    """rows with _at, their place (from 0) in the order of their key, and _n, the key's rows.
+
+    part is a rising function of the order: places are counted inside (key, part) and shifted by
+    the sizes of the parts before, so a key with most of the rows is as many tasks as it has parts.
+    """
+    rows = rows.withColumn("_part", part)
+    inside = Window.partitionBy(key, "_part").orderBy(*order)
+    placed = rows.withColumn("_in", F.row_number().over(inside) - 1)
+    sizes = rows.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = Window.partitionBy("_k")
+    shift = F.coalesce(F.sum("_c").over(parts.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"_shift": shift, "_n": F.sum("_c").over(parts)})
+    both = placed.join(sizes, F.col(key).eqNullSafe(F.col("_k")) & F.col("_part").eqNullSafe(F.col("_p")))
+    return both.withColumn("_at", F.col("_in") + F.col("_shift")).drop("_part", "_in", "_k", "_p", "_c", "_shift")
+
+
+def even_buckets(samples: DataFrame, key: str, order: Sequence[str], value: str, columns: int, part: Column | None = None) -> DataFrame:
+    """Least and largest value of each of `columns` even buckets of a key's ordered samples (fewer if the samples are); part as for numbered."""
+    rows = numbered(samples, key, order, F.lit(0) if part is None else part)
+    bucket = F.floor(F.col("_at") * F.least("_n", F.lit(columns)) / F.col("_n")).cast("long")
+    return rows.groupBy(key, bucket.alias("bucket")).agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def waveform(frames: DataFrame, key: str, frame: str, channels: Sequence[str], columns: int) -> DataFrame:
@@ -76,9 +91,10 @@ def with_matches(nodes: DataFrame, text: str) -> DataFrame:
 
 
 def dirs_first(nodes: DataFrame) -> DataFrame:
-    """nodes with place: the order among siblings, directories before files, then by label."""
-    w = Window.partitionBy("parent").orderBy("is_file", "label")
-    return nodes.withColumn("place", F.row_number().over(w))
+    """nodes with place: the order among siblings, directories before files, then by label. A folder is counted in parts by the first two letters of its labels."""
+    part = F.concat(F.when(F.col("is_file"), "1").otherwise("0"), F.left("label", F.lit(2)))
+    rows = numbered(nodes, "parent", ["is_file", "label"], part)
+    return rows.withColumn("place", (F.col("_at") + 1).cast("int")).drop("_at", "_n")
 
 
 def shown(nodes: DataFrame, expanded: Sequence[str]) -> DataFrame:

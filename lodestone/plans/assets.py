@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import audio, geometry, numeric, texts
 from lodestone.operators import dispatch, documents, entries, integrity, lookups, schemas, shapes
-from lodestone.session import table
+from lodestone.session import table, work_dir
+from lodestone.sources import pak
 
-from .catalog import CATALOG, EXTENSIONS, catalog, query
+from .catalog import CATALOG, EXT, EXTENSIONS, catalog, query
 
 DOC = """'{"summary":{"names":["' || event_type || '","b"],"count":' || user_id || '},"exports":[{"object_name":"e' || event_id || '"},{"object_name":"f","0":true}],"props":' || props || '}'"""
 
@@ -408,3 +413,46 @@ def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("node"))
     children = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), F.col("c_nationkey").alias("parent"))
     return lookups.children_of(nodes, children).select("node", "children")
+
+
+#: Documents in an archive that a query makes.
+ARCHIVE = 200
+
+
+def archives(spark: SparkSession, sf_dir: str) -> str:
+    """documents as archives of ARCHIVE entries or fewer in a new folder that tasks can read; the glob that names them."""
+    folder = f"{work_dir(spark)}/archives-{uuid.uuid4().hex}"
+    rows = catalog(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")).select("doc_id", "path")
+    rows = rows.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("archive", F.floor(F.col("doc_id") / ARCHIVE))
+
+    def write(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("path")
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+        name, data = int(t["archive"].iloc[0]), [(p, x.encode() if isinstance(x, str) else b"") for p, x in zip(t["path"], t["text"], strict=True)]
+        part = f"{root}/{uuid.uuid4().hex}.part"
+        with fs.open_output_stream(part) as f:
+            f.write(pak.packed(data, compress=name % 2 == 0))
+        fs.move(part, f"{root}/{name}.pak")  # a task that is run again replaces the same bytes
+        return pd.DataFrame({"archive": [name], "n": [len(t)]})
+
+    rows.groupBy("archive").applyInPandas(write, "archive long, n long").agg(F.sum("n")).first()
+    return f"{folder}/*.pak"
+
+
+@query(f"""WITH {CATALOG} SELECT path, strlen(coalesce(text, ''))::BIGINT AS size, doc_id // 200 % 2 = 0 AS compressed, sha1(coalesce(text, '')) AS content_sha1, doc_id // 200 % 2 = 1 OR NULL AS verified FROM cat JOIN documents USING (doc_id)""")
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of archives made of documents, and their payloads by ranges; verified: of stored entries, whether the payload has the hash that the index claims."""
+    pak.register(spark)
+    rows = spark.read.format("pak").option("verifyIndex", "true").load(archives(spark, sf_dir))
+    rows = pak.contents(rows, spread=16)
+    verified = F.when(F.col("method") == "none", entries.verify_outcome(F.col("content"), F.col("sha1"), F.lit(True)) == "verified")
+    return rows.select("path", "size", (F.col("method") == "zlib").alias("compressed"), F.sha1("content").alias("content_sha1"), verified.alias("verified"))
+
+
+@query(f"""WITH {CATALOG} SELECT path, strlen(coalesce(text, ''))::BIGINT AS size FROM cat JOIN documents USING (doc_id) WHERE {EXT} IN ('uasset', 'umap') AND strlen(coalesce(text, '')) BETWEEN 256 AND 1048576""")
+def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of archives' catalogs: no payload is read."""
+    pak.register(spark)
+    rows = spark.read.format("pak").load(archives(spark, sf_dir))
+    return entries.search(rows, ext=["uasset", "umap"], glob="Game/**", min_size="256", max_size="1 MiB").select("path", "size")

@@ -229,7 +229,7 @@ def chunk_assemble_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, (r * least(n, 16)) // n AS bucket, min(value) AS low, max(value) AS high FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY ALL""")
 def waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.even_buckets(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 16)
+    return shapes.even_buckets(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 16, F.date_trunc("month", "ts"))
 
 
 @query("""SELECT (dim - 1)::INTEGER AS dim, min(embedding[dim]) AS low, max(embedding[dim]) AS high FROM embeddings, unnest(generate_series(1, len(embedding))) t(dim) GROUP BY 1""")

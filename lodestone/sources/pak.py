@@ -3,25 +3,31 @@
 One row per entry. The catalog is read from an archive's tail and index only; with option
 content=true the payloads are read too, by ranges, and an archive's entries are dealt over
 several partitions. A payload that cannot be read gives its reason in `error` and the scan goes
-on; an archive that cannot be opened fails the read unless option badArchives=rows, which gives one row
-with the reason.
+on; an archive that cannot be opened, or whose entries reach past its end, fails the read unless
+option badArchives=rows, which gives one row with the reason. Equality filters on path and bounds on
+size are taken into the scan.
+
+For very large archives read the catalog, filter it, and pass it to `contents`: an entry's own
+record stands before its payload, so no task reads an index again.
 
 Options: path (one, or several separated by commas; globs in the last component), content,
-badArchives, entriesPerPartition (512). Paths may be any URI that pyarrow.fs opens.
+badArchives, entriesPerPartition (512), verifyIndex (false: whether an index must have the hash that
+its footer claims). Paths may be any URI that pyarrow.fs opens.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "source string, pos int, path string, offset long, size long, compressed_size long, method string, encrypted boolean, sha1 string, content binary, error string"
 #: Fixed values of the format: mark, footers by size (versions, method slots, frozen flag), numeric methods.
@@ -44,6 +50,7 @@ class Footer:
     encrypted: bool
     methods: tuple[str, ...]
     short_method: bool  # one byte in entry records
+    guid: str | None  # of the key, as 32 hexadecimal digits; None for all zeros and for footers without one
 
 
 @dataclass(frozen=True)
@@ -91,9 +98,10 @@ def read_footer(tail: bytes, file_size: int) -> Footer:
         if len(tail) < size:
             continue
         c = Cursor(tail[-size:])
-        encrypted = False
+        encrypted, guid = False, None
         if size > 44:
-            c.take(16)
+            guid = c.take(16).hex()
+            guid = guid if guid.strip("0") else None
             encrypted = bool(c.read("B"))
         magic, version, offset, length = c.read("IIQQ")
         if magic != MAGIC:
@@ -109,7 +117,7 @@ def read_footer(tail: bytes, file_size: int) -> Footer:
             raise BadArchive(f"version {version} is not read")
         if offset + length > file_size:
             raise BadArchive("index past the end")
-        return Footer(version, offset, length, sha1, encrypted, methods, size == 189)
+        return Footer(version, offset, length, sha1, encrypted, methods, size == 189, guid)
     raise BadArchive("no footer" if foreign is None else f"version {foreign} in a footer of another size")
 
 
@@ -248,15 +256,109 @@ def regions(f):
     return region
 
 
-def scan(uri: str) -> list[Entry]:
-    """The entries of an archive."""
+def footer_of(f) -> Footer:
+    """The footer, from an open file's tail alone."""
+    n = f.size()
+    return read_footer(f.read_at(min(n, 222), n - min(n, 222)), n)
+
+
+def scan(uri: str, verify: bool = False) -> list[Entry]:
+    """The entries of an archive, all inside it."""
     with opened(uri) as f:
-        n = f.size()
-        footer = read_footer(f.read_at(min(n, 222), n - min(n, 222)), n)
+        footer, n, region = footer_of(f), f.size(), regions(f)
         if footer.encrypted:
             raise BadArchive("encrypted index")
-        region = regions(f)
-        return read_index(region(footer.index_offset, footer.index_size), footer, region)
+        index = region(footer.index_offset, footer.index_size)
+        if verify and footer.index_sha1.strip("0") and hashlib.sha1(index).hexdigest() != footer.index_sha1:
+            raise BadArchive("the index has another hash than its footer claims")
+        found = read_index(index, footer, region)
+    for e in found:
+        end = max([e.start, *(b for _, b in e.blocks)]) if e.blocks else e.start + e.compressed_size
+        if end > n or max(e.size, e.compressed_size) >= 1 << 63:
+            raise BadArchive(f"{e.path}: past the end")
+    return found
+
+
+def entry_count(uri: str) -> int:
+    """What the head of an archive's index says."""
+    with opened(uri) as f:
+        footer, region = footer_of(f), regions(f)
+        size = struct.unpack("<i", region(footer.index_offset, 4))[0]
+        head = min(footer.index_size, 8 + (size if size >= 0 else -2 * size))
+        c = Cursor(region(footer.index_offset, head))
+        c.text()
+        return min(c.read("I"), MAX_ENTRIES)
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(source, version, key_guid, encrypted_index, index_sha1, error) of archives, from their tails alone."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for source in batch.column(0).to_pylist():
+                try:
+                    with opened(source) as f:
+                        x = footer_of(f)
+                    rows.append((source, x.version, x.guid, x.encrypted, x.index_sha1, None))
+                except (BadArchive, OSError, UnicodeDecodeError) as e:
+                    rows.append((source, None, None, None, None, str(e)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["source", "version", "key_guid", "encrypted_index", "index_sha1", "error"])
+
+    sources = expand(path)
+    return spark.createDataFrame([(s,) for s in sources], "source string").repartition(min(len(sources), 1000)).mapInArrow(run, "source string, version int, key_guid string, encrypted_index boolean, index_sha1 string, error string")
+
+
+def contents(entries: DataFrame, spread: int | None = None) -> DataFrame:
+    """entries (source, path, offset and more) with content and error in place of their own, read by ranges from the entries' own records.
+
+    spread: partitions over which the entries are dealt.
+    """
+    kept = [c for c in entries.columns if c not in ("content", "error")]
+    at = {c: kept.index(c) for c in ("source", "path", "offset")}
+    rows = entries.select(*kept)
+
+    def run(batches):
+        for batch in batches:
+            source, path, offset = (batch.column(at[c]).to_pylist() for c in ("source", "path", "offset"))
+            content, error = [None] * len(source), [None] * len(source)
+            by: dict[str, list[int]] = {}
+            for i, s in enumerate(source):
+                by.setdefault(s, []).append(i)
+            for s, mine in by.items():
+                try:
+                    with opened(s) as f:
+                        footer, region, n = footer_of(f), regions(f), f.size()
+                        for i in mine:
+                            try:
+                                content[i] = payload(record_at(f, n, footer, offset[i], path[i]), region)
+                            except UNREADABLE as x:
+                                error[i] = str(x)
+                except (BadArchive, OSError, UnicodeDecodeError) as x:
+                    for i in mine:
+                        error[i] = error[i] or str(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary()), pa.array(error, pa.string())], [*kept, "content", "error"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return (rows.repartition(spread) if spread else rows).mapInArrow(run, schema + ", content binary, error string")
+
+
+def record_at(f, file_size: int, footer: Footer, offset: int, path: str) -> Entry:
+    """The entry whose record stands at offset, which counts from there."""
+    size = 4096
+    while True:
+        data = f.read_at(max(0, min(size, file_size - offset)), offset)
+        try:
+            e = flat_entry(Cursor(data), replace(footer, version=max(footer.version, 5)), path)  # blocks relative to the record
+            break
+        except BadArchive:
+            if offset + size >= file_size:
+                raise
+            size *= 16
+    shift = offset if footer.version >= 5 else 0
+    return replace(e, offset=offset, start=offset + header_size(footer, e.method, len(e.blocks)), blocks=tuple((a - e.offset + shift, b - e.offset + shift) for a, b in e.blocks))
 
 
 def expand(paths: str) -> list[str]:
@@ -279,12 +381,35 @@ class Slice(InputPartition):
         self.source, self.first, self.stop = source, first, stop
 
 
+#: What a payload that cannot be read raises.
+UNREADABLE = (BadArchive, zlib.error, pa.ArrowException, OSError, OverflowError, MemoryError)
+
+
 class PakReader(DataSourceReader):
     def __init__(self, options: dict):
         self.sources = expand(options["path"])
         self.content = options.get("content", "false").lower() == "true"
         self.rows = options.get("badarchives", "fail").lower() == "rows"
         self.each = int(options.get("entriesperpartition", "512"))
+        self.verify = options.get("verifyindex", "false").lower() == "true"
+        self.paths: set | None = None
+        self.least, self.most = 0, 1 << 64
+
+    def pushFilters(self, filters: list[Filter]):  # noqa: N802
+        """Narrow the scan by path and size; Spark evaluates all filters again."""
+        for x in filters:
+            column, value = getattr(x, "attribute", ()), getattr(x, "value", None)
+            if column == ("path",) and isinstance(x, EqualTo | In):
+                wanted = {value} if isinstance(x, EqualTo) else set(value)
+                self.paths = wanted if self.paths is None else self.paths & wanted
+            elif column == ("size",) and isinstance(x, GreaterThan | GreaterThanOrEqual | EqualTo):
+                self.least = max(self.least, value + isinstance(x, GreaterThan))
+            if column == ("size",) and isinstance(x, LessThan | LessThanOrEqual | EqualTo):
+                self.most = min(self.most, value - isinstance(x, LessThan))
+            yield x
+
+    def wanted(self, e: Entry) -> bool:
+        return (self.paths is None or e.path in self.paths) and self.least <= e.size <= self.most
 
     def partitions(self) -> list[Slice]:
         if not self.content:
@@ -292,7 +417,7 @@ class PakReader(DataSourceReader):
         out = []
         for s in self.sources:
             try:
-                n = len(scan(s))
+                n = entry_count(s)
             except (BadArchive, OSError, UnicodeDecodeError):
                 n = 1  # the task reports it
             out += [Slice(s, i, i + self.each) for i in range(0, max(n, 1), self.each)]
@@ -300,7 +425,7 @@ class PakReader(DataSourceReader):
 
     def read(self, part: Slice) -> Iterator[tuple]:
         try:
-            entries = list(enumerate(scan(part.source)))[part.first : part.stop]
+            entries = [(i, e) for i, e in list(enumerate(scan(part.source, self.verify)))[part.first : part.stop] if self.wanted(e)]
         except (BadArchive, OSError, UnicodeDecodeError) as x:
             if not self.rows:
                 raise
@@ -313,7 +438,7 @@ class PakReader(DataSourceReader):
                 if self.content:
                     try:
                         content = payload(e, region)
-                    except (BadArchive, zlib.error, pa.ArrowException, OSError) as x:
+                    except UNREADABLE as x:
                         error = str(x)
                 yield (part.source, i, e.path, e.offset, e.size, e.compressed_size, e.method, e.encrypted, e.sha1, content, error)
 
@@ -331,4 +456,27 @@ class PakSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session, and let its filters be pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PakSource)
+
+
+def packed(files: list[tuple[str, bytes]], compress: bool = True, block: int = 1 << 16) -> bytes:
+    """A version 9 archive of (path, bytes), as small fixtures and queries need one; payloads in zlib blocks or as they are."""
+
+    def text(x: str) -> bytes:
+        return struct.pack("<i", len(x) + 1) + x.encode() + b"\0" if x.isascii() else struct.pack("<i", -len(x.encode("utf-16-le")) // 2 - 1) + x.encode("utf-16-le") + b"\0\0"
+
+    body, index = bytearray(), bytearray()
+    for path, data in files:
+        parts = [zlib.compress(data[i : i + block], 1) for i in range(0, max(len(data), 1), block)] if compress else []
+        stored = b"".join(parts) if compress else data
+        ends = [53 + 4 + 16 * len(parts)]
+        for p in parts:
+            ends.append(ends[-1] + len(p))
+        table = struct.pack("<I", len(parts)) + b"".join(struct.pack("<QQ", *x) for x in zip(ends, ends[1:], strict=False)) if compress else b""
+        rest = struct.pack("<QQI", len(stored), len(data), int(compress)) + hashlib.sha1(stored).digest() + table + struct.pack("<BI", 0, block if compress else 0)
+        index += text(path) + struct.pack("<Q", len(body)) + rest
+        body += struct.pack("<Q", 0) + rest + stored
+    listing = text("../../../") + struct.pack("<I", len(files)) + index
+    return bytes(body) + listing + bytes(17) + struct.pack("<IIQQ", MAGIC, 9, len(body), len(listing)) + hashlib.sha1(listing).digest() + b"\0" + b"Zlib".ljust(32, b"\0") + bytes(128)

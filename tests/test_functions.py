@@ -108,7 +108,7 @@ def test_layers_and_cross_check(spark):
 
 def test_closure_ends_in_a_cycle(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "node string, parent string")
-    assert {tuple(r) for r in lookups.closure(df).collect()} == {("a", "a", 0), ("a", "b", 1), ("b", "b", 0), ("b", "a", 1), ("c", "c", 0)}
+    assert {tuple(r) for r in lookups.closure(df).drop("truncated").collect()} == {("a", "a", 0), ("a", "b", 1), ("b", "b", 0), ("b", "a", 1), ("c", "c", 0)}
 
 
 def test_as_of_takes_the_last_of_equal_times(spark):
