@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 
 def resolve_name(name: Column, index: Column, number: Column) -> Column:
@@ -46,11 +47,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_order
     """left with value of the last row of right at or before left_at, per key; null where there is none, and for null keys.
 
     right_order starts with right's time and ends with a unique column. The two are laid over each
-    other by key and span of time (a rising function of it, months unless given) and the last value
+    other by key and span of time (a rising function of it; unless given months, or one span for numbers) and the last value
     is carried forward inside; what a span inherits comes from the last values of the spans before.
     No pairs are made, and a key with most of the rows is as many tasks as it has spans.
     """
-    at, span = right_order[0], span or (lambda c: F.date_trunc("month", c))
+    at, timed = right_order[0], isinstance(left.schema[left_at].dataType, DateType | TimestampType | TimestampNTZType)
+    span = span or (lambda c: F.date_trunc("month", c) if timed else F.lit(0))
     ties = [F.col(c) for c in right_order[1:]]
     r = right.filter(F.col(key).isNotNull()).select(F.col(key), F.col(at).alias("_at"), span(F.col(at)).alias("_span"), F.lit(0).alias("_side"), F.struct(*ties).alias("_tie"), F.struct(F.col(value).alias("v")).alias("_v"))
     lefts = left.select(F.col(key), F.col(left_at).alias("_at"), span(F.col(left_at)).alias("_span"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
