@@ -13,7 +13,12 @@ need more than all of their documents is `way`:
 * "bounded": no document twice. The cells are raked under the bound of their own tokens at the
   largest rate up to `rate` that meets the marginals; the sample is smaller than `rate` if need be.
 
-The last two rake until what is left of the marginals is TOL, and warn if it stays above LEFT.
+* "filled": no document twice, and the rate as near as that allows. A category that has fewer tokens
+  than its target asks for at the rate is taken whole, the rest of its marginal shares what it leaves
+  open, and the cells are raked to these shares under the bound of their own tokens. A category of a
+  single document so costs the others nothing, where "bounded" would shrink the sample to fit it.
+
+The last three rake until what is left of the marginals is TOL, and warn if it stays above LEFT.
 
 Edge cases: null or unknown categories count as the category "<null>"; a null text has no tokens;
 cells without tokens get factor 0 and none of their documents stay; categories without a target
@@ -33,12 +38,14 @@ from pyspark.sql import functions as F
 from .scratch import staged
 
 DIMS = ("source", "lang", "topic")
-WAYS = ("capped", "copies", "bounded")
+WAYS = ("capped", "copies", "bounded", "filled")
 #: Cells are the product of three small vocabularies; beyond this the sums stay in Spark.
 MAX_CELLS = 200_000
 ROUNDS = 12
 #: Raking by the residual: the largest distance of a share from its target at which it ends, its rounds at most, and what is too far.
 TOL, MOST_ROUNDS, LEFT = 1e-9, 2000, 1e-6
+#: Rounds of "filled" at most, where bounds may leave a little that no rate would meet.
+FILL_ROUNDS = 200
 
 
 def n_words(text: Column) -> Column:
@@ -100,6 +107,19 @@ def bounded_prob(tokens: np.ndarray, w: np.ndarray, codes: list[np.ndarray], sha
     return np.minimum(1.0, np.divide(best * total, tokens, out=np.zeros_like(w), where=tokens > 0))
 
 
+def filled_shares(share: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """share, cut to cap where it is more, the rest scaled up alike until all sum to 1; as far as caps allow."""
+    if not (share > 0).any() or np.minimum(np.where(share > 0, np.inf, 0), cap).sum() <= 1:
+        return np.where(share > 0, cap, 0.0)
+    low, high = 0.0, 1.0
+    while np.minimum(share * high, cap).sum() < 1:
+        low, high = high, 2 * high
+    for _ in range(100):
+        k = (low + high) / 2
+        low, high = (k, high) if np.minimum(share * k, cap).sum() < 1 else (low, k)
+    return np.minimum(share * high, cap)
+
+
 def cap_scale(tokens: np.ndarray, factor: np.ndarray, rate: float) -> float:
     """k with sum(tokens * min(1, k * factor)) = rate * sum(tokens): the largest factors cap first."""
     order = np.argsort(-factor, kind="stable")
@@ -130,11 +150,25 @@ def _weights_in_spark(cells: DataFrame, alpha: float, rate: float, targets: dict
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     shares = {d: target_shares(cells, d, alpha, targets, total) for d in DIMS}
+    bound = F.col("tokens") / (float(total) * rate)
+    if way == "filled":
+        for d in DIMS:
+            both = staged(shares[d].join(cells.groupBy(d).agg((F.sum("tokens") / (float(total) * rate)).alias("cap")), d), f"caps-{d}")
+            held = lambda k, both=both: both.agg(F.sum(F.least(F.col("share") * k, F.col("cap")))).first()[0] or 0
+            low, high = 0.0, 1.0
+            while high < 1e12 and held(high) < 1:
+                low, high = high, 2 * high
+            for _ in range(40):
+                k = (low + high) / 2
+                low, high = (k, high) if held(k) < 1 else (low, k)
+            shares[d] = both.select(d, F.least(F.col("share") * high, F.col("cap")).alias("share"))
     rows = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
     for _ in range(rounds):
         for d in DIMS:
             have = rows.groupBy(d).agg(F.sum("w").alias("_have"))
             rows = rows.join(have, d).join(shares[d], d).withColumn("w", F.when(F.col("_have") > 0, F.col("w") * F.col("share") / F.col("_have")).otherwise(0.0)).select(*DIMS, "tokens", "w")
+            if way == "filled":
+                rows = rows.withColumn("w", F.least("w", bound))
         rows = staged(rows, "raked")
         if way != "capped":
             left = max(rows.groupBy(d).agg(F.sum("w").alias("_have")).join(shares[d], d).agg(F.max(F.abs(F.col("_have") - F.col("share")))).first()[0] or 0 for d in DIMS)
@@ -145,7 +179,7 @@ def _weights_in_spark(cells: DataFrame, alpha: float, rate: float, targets: dict
     factor = F.when(F.col("tokens") > 0, F.col("w") * float(total) / F.col("tokens")).otherwise(0.0)
     rows = staged(rows.select(*DIMS, "tokens", factor.alias("factor")), "factors")
     if way != "capped":
-        k = rate if way == "copies" else min(rate, 1 / max(rows.agg(F.max("factor")).first()[0] or 0, 1e-300))
+        k = rate if way in ("copies", "filled") else min(rate, 1 / max(rows.agg(F.max("factor")).first()[0] or 0, 1e-300))
         return rows.select(*DIMS, "factor", (F.col("factor") * k).alias("prob"))
     expected = lambda k: rows.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * k))).first()[0]
     lo, hi = 0.0, 1.0
@@ -165,7 +199,7 @@ def cell_weights(cells: DataFrame, alpha: float = 0.5, rate: float = 0.5, target
     if way not in WAYS:
         raise ValueError(f"{way} is none of {WAYS}")
     spark = cells.sparkSession
-    rounds = rounds or (ROUNDS if way == "capped" else MOST_ROUNDS)
+    rounds = rounds or {"capped": ROUNDS, "filled": FILL_ROUNDS}.get(way, MOST_ROUNDS)
     if cells.limit(most + 1).count() > most:
         return _weights_in_spark(cells, alpha, rate, targets, rounds, way)
     got = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in DIMS))
@@ -182,12 +216,16 @@ def cell_weights(cells: DataFrame, alpha: float = 0.5, rate: float = 0.5, target
             share = np.array([targets[d].get(x, own[i]) if sums[i] > 0 else 0.0 for i, x in enumerate(names)])
         codes.append(code)
         shares.append(share / max(share.sum(), 1e-300))
-    w = rake(tokens, codes, shares, rounds, None if way == "capped" else TOL) if got else tokens
+    bound = None
+    if got and way == "filled":
+        bound = tokens / max(tokens.sum(), 1) / rate
+        shares = [filled_shares(x, np.bincount(c, weights=bound, minlength=len(x))) for c, x in zip(codes, shares, strict=True)]
+    w = rake(tokens, codes, shares, rounds, None if way == "capped" else TOL, bound) if got else tokens
     if got and way != "capped":
         _warn(residual(w, codes, shares))
     factor = np.divide(w * tokens.sum(), tokens, out=np.zeros_like(w), where=tokens > 0)
-    if not got or way == "copies":
-        prob = rate * factor
+    if not got or way in ("copies", "filled"):
+        prob = rate * factor if way != "filled" else np.minimum(1.0, rate * factor)
     else:
         prob = np.minimum(1.0, cap_scale(tokens, factor, rate) * factor) if way == "capped" else bounded_prob(tokens, w, codes, shares, rate)
     rows = [(*(r[d] for d in DIMS), float(f), float(p)) for r, f, p in zip(got, factor, prob, strict=True)]

@@ -457,6 +457,20 @@ def test_mixing_meets_shares_where_cells_cap(spark, way, most):
             assert got.filter("topic = 'shouting'").agg(F.min("prob")).first()[0] > 0.99
 
 
+@pytest.mark.parametrize("most", [1000, 1])
+def test_filled_mixing_does_not_shrink_for_a_rare_category(spark, most):
+    rows = [(i, "!! w" if i == 7 else "w " * (1 + i % 5), "de" if i % 7 == 0 else "en", f"s{i % 3}") for i in range(400)] + [(400, "w", "xx", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, alpha=0.5, rate=0.5, way="filled", most=most)
+    shares = {(r["dim"], r["category"]): r for r in mixing.reached(got, alpha=0.5).collect()}
+    assert shares["lang", "en"]["rate"] == pytest.approx(0.5, abs=5e-3)
+    assert got.agg(F.max("prob")).first()[0] <= 1
+    assert got.filter("lang = 'xx' OR topic = 'shouting'").agg(F.min("prob")).first()[0] > 0.95
+    open_ = [r for r in shares.values() if r["dim"] == "source" and r["category"] != "rare"]
+    assert max(r["expected"] / r["target"] for r in open_) == pytest.approx(min(r["expected"] / r["target"] for r in open_), rel=0.02)
+    assert mixing.mix(docs.limit(0), way="filled", most=most).count() == 0
+
+
 def test_bounded_rate_is_the_largest():
     t, codes = np.array([10.0, 90.0, 50.0, 50.0]), [np.array([0, 1, 1, 1]), np.array([0, 0, 1, 1])]
     shares = [np.array([0.2, 0.8]), np.array([0.5, 0.5])]
