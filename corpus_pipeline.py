@@ -18,7 +18,7 @@ from lodestone.session import table
 
 #: A document is rejected if its score is below this.
 QUALITY = 0.7
-#: Share of the tokens that the mixture keeps, or less where the target shares need more than all of a category.
+#: Share of the tokens that the mixture keeps.
 RATE = 0.5
 
 
@@ -40,8 +40,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the target shares of sources, languages and topics, of RATE of the tokens or as near as that allows."""
-    return mixing.sample(docs, rate=RATE, way="bounded")
+    """A sample of RATE of the tokens at the target shares of sources, languages and topics; categories that have too little for theirs are taken whole."""
+    return mixing.sample(docs, rate=RATE, way="filled")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
