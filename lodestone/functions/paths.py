@@ -61,11 +61,13 @@ def parse_size(text: str) -> int:
 
 
 def format_size(n: Column) -> Column:
-    """Bytes plainly below 1 KiB, else one decimal of the largest binary unit up to TiB."""
+    """Bytes plainly below 1 KiB, else one decimal of the largest binary unit up to TiB, halves to the even digit; null for null."""
+    # format_string alone rounds halves up, and prints a null
+    text = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1))
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / float(1024**k)))
-    return out.otherwise(F.format_string("%.1f TiB", n / float(1024**4)))
+        out = out.when(n < 1024 ** (k + 1), text(k, unit))
+    return out.when(n.isNotNull(), text(4, "TiB"))
 
 
 def exact_size_label(n: Column) -> Column:

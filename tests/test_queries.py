@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.operators import lookups, shapes
@@ -55,6 +56,17 @@ def test_repeated_lines_have_one_owner(spark, tmp_path, name):
     same(got, con, catalog.ORACLE_SQL[name])
 
 
+def test_sizes_halfway_and_null(spark, tmp_path):
+    n = F.explode(F.array(*[F.lit(x) for x in (None, 0, 1023, 1024, *range(1280, 9000, 256), (5 << 18) - 1, 5 << 18, 7 << 18)]))
+    spark.range(1).select(n.alias("n")).select(F.coalesce("n", F.lit(-1)).alias("page_id"), F.expr("repeat('x', n)").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = catalog.QUERIES["size_format"](spark, str(tmp_path))
+    texts = {r.page_id: r.size_text for r in got.collect()}
+    assert [texts[x] for x in (-1, 1280, 1792, 5 << 18, 7 << 18)] == [None, "1.2 KiB", "1.8 KiB", "1.2 MiB", "1.8 MiB"]
+    same(got, con, catalog.ORACLE_SQL["size_format"])
+
+
 def test_range_cells_keep_one_of_equal_pieces(spark):
     rows = [(0, 3000 + i % 3 * 10, i) for i in range(300)]
     cells = lookups.range_cells(spark.createDataFrame(rows, "lo long, hi long, ordinal long"), 1000)
