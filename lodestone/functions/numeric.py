@@ -17,6 +17,15 @@ IMA_INDEX = (-1, -1, -1, -1, 2, 4, 6, 8)
 _LOW = 0xFFFFFFFF
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to so many decimals as SQL engines in C round it: x * 10**digits to a whole number, halves away from zero, a zero with its sign; x if the product is not finite.
+
+    F.round takes the decimal text of x instead, which is now and then on the other side of a half, and has no -0.0.
+    """
+    y = x * float(10**digits)
+    return F.when(F.abs(y) < 0.5, x * 0.0).when(F.abs(y) < float("inf"), F.round(y) / float(10**digits)).otherwise(x)
+
+
 def spread_bits(x: Column) -> Column:
     """The low 16 bits at the even places."""
     x = x.bitwiseAND(0xFFFF)

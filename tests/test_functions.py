@@ -1,5 +1,8 @@
 """Column functions and operators on small cases with known answers."""
 
+import math
+
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +129,15 @@ def test_range_owner_last_ordinal_wins(spark):
     assert {r["v"]: r["owner"] for r in lookups.range_owner(values, "v", ranges, 7).collect()} == {1: 1, 10: 2, 99: None, -5: 4, None: None}
 
 
+def test_rounded_as_in_c(spark):
+    x = [0.0, -0.0, 4e-7, -4e-7, 5e-7, -5e-7, 1.0000005, -2.5e-6, 1.005, 123456.7890125, 1e308, math.inf, -math.inf, math.nan, None]
+    got = [r.y for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(numeric.rounded(F.col("x"), 6).alias("y")).collect()]
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in x]
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert repr(got[3]) == "-0.0"
+
+
 def test_rules_without_tests_hold_nothing(spark):
     assert one(spark, shapes.rules_hold([])) is False
     assert one(spark, shapes.rules_hold([F.lit(True)])) is True

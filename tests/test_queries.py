@@ -56,6 +56,16 @@ def test_repeated_lines_have_one_owner(spark, tmp_path, name):
     same(got, con, catalog.ORACLE_SQL[name])
 
 
+def test_small_components_keep_their_sign(spark, tmp_path):
+    v = [1.0, -1e-7, 4e-6, -4e-6, 5e-6, -5e-6, 0.0, -0.0, 1e-5, -0.123455]
+    spark.createDataFrame([(1, v), (2, v[::-1])], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = {r.vec_id: repr(r.unit) for r in catalog.QUERIES["vector_normalize"](spark, str(tmp_path)).collect()}
+    assert got == {k: repr(u) for k, u in con.execute(catalog.ORACLE_SQL["vector_normalize"]).fetchall()}
+    assert "-0.0," in got[1]
+
+
 def test_sizes_halfway_and_null(spark, tmp_path):
     n = F.explode(F.array(*[F.lit(x) for x in (None, 0, 1023, 1024, *range(1280, 9000, 256), (5 << 18) - 1, 5 << 18, 7 << 18)]))
     spark.range(1).select(n.alias("n")).select(F.coalesce("n", F.lit(-1)).alias("page_id"), F.expr("repeat('x', n)").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
