@@ -309,7 +309,7 @@ SELECT vec_id, [round(v[1] * 0.01::DOUBLE, 9), round(v[3] * 0.01::DOUBLE, 9), ro
 def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
-    rounded = lambda a, n: F.transform(a, lambda x: F.round(x, n))
+    rounded = lambda a, n: F.transform(a, lambda x: numeric.rounded(x, n))
     return rows.select("vec_id", rounded(geometry.position(F.col("v")), 9).alias("position"), rounded(geometry.tangent(F.col("v")), 6).alias("tangent"), geometry.finite(F.col("v")).alias("finite"))
 
 

@@ -66,6 +66,16 @@ def test_small_components_keep_their_sign(spark, tmp_path):
     assert "-0.0," in got[1]
 
 
+def test_small_directions_keep_their_sign(spark, tmp_path):
+    v = [[1.0, -1e-8, 4e-8, 1e-7], [-1e-8, 2.0, -5e-8, -1e-7], [3.0, 4.0, 0.0, 0.0], [3.0, -4.0, 1e-7, -0.0]]
+    spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = sorted((r.vec_id, repr(r.position), repr(r.tangent)) for r in catalog.QUERIES["directions"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, repr(p), repr(t)) for i, p, t, _ in con.execute(catalog.ORACLE_SQL["directions"]).fetchall())
+    assert got[0][1:] == ("[0.01, 0.0, -0.0]", "[1.0, 0.0, -0.0, -0.0]")
+
+
 def test_sizes_halfway_and_null(spark, tmp_path):
     n = F.explode(F.array(*[F.lit(x) for x in (None, 0, 1023, 1024, *range(1280, 9000, 256), (5 << 18) - 1, 5 << 18, 7 << 18)]))
     spark.range(1).select(n.alias("n")).select(F.coalesce("n", F.lit(-1)).alias("page_id"), F.expr("repeat('x', n)").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
