@@ -18,7 +18,9 @@ need more than all of their documents is `way`:
   open, and the cells are raked to these shares under the bound of their own tokens. A category of a
   single document so costs the others nothing, where "bounded" would shrink the sample to fit it.
 
-The last three rake until what is left of the marginals is TOL, and warn if it stays above LEFT.
+The last three rake until what is left of the marginals is TOL, for `least` rounds in any case, and
+warn if it stays above LEFT. A share within TOL leaves the factors of small cells off by more than
+that: whoever compares factors asks for rounds after which they no longer move.
 
 Edge cases: null or unknown categories count as the category "<null>"; a null text has no tokens;
 cells without tokens get factor 0 and none of their documents stay; categories without a target
@@ -58,19 +60,19 @@ def form_topic(text: Column) -> Column:
     return F.when(has(" | "), "table").when(has("!! "), "shouting").when(has("%%% ") | has("$$$ "), "symbols").otherwise("prose")
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], rounds: int = ROUNDS, tol: float | None = None, bound: np.ndarray | None = None) -> np.ndarray:
+def rake(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], rounds: int = ROUNDS, tol: float | None = None, bound: np.ndarray | None = None, least: int = 0) -> np.ndarray:
     """Cell weights, from the tokens', whose sums by each code approach shares; a marginal's shares sum to 1.
 
-    With tol it ends as soon as no share is further than that; with a bound no weight exceeds it.
+    With tol it ends as soon as no share is further than that, but not before `least` rounds; with a bound no weight exceeds it.
     """
     w = tokens / max(tokens.sum(), 1)
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         for code, share in zip(codes, shares, strict=True):
             have = np.bincount(code, weights=w, minlength=len(share))
             w = w * np.divide(share, have, out=np.zeros_like(have), where=have > 0)[code]
             if bound is not None:
                 w = np.minimum(w, bound)
-        if tol is not None and residual(w, codes, shares) <= tol:
+        if tol is not None and done >= least and residual(w, codes, shares) <= tol:
             break
     return w
 
@@ -142,7 +144,7 @@ def target_shares(cells: DataFrame, d: str, alpha: float, targets: dict[str, dic
     return sums.withColumn("share", F.col("share") / max(sums.agg(F.sum("share")).first()[0] or 0, 1e-300))
 
 
-def _weights_in_spark(cells: DataFrame, alpha: float, rate: float, targets: dict[str, dict[str, float]] | None, rounds: int, way: str) -> DataFrame:
+def _weights_in_spark(cells: DataFrame, alpha: float, rate: float, targets: dict[str, dict[str, float]] | None, rounds: int, way: str, least: int) -> DataFrame:
     """As cell_weights, for more cells than the driver should hold: a round is three grouped sums.
 
     "bounded" takes the largest rate at which no cell's rate * factor is above 1: the marginals are
@@ -163,7 +165,7 @@ def _weights_in_spark(cells: DataFrame, alpha: float, rate: float, targets: dict
                 low, high = (k, high) if held(k) < 1 else (low, k)
             shares[d] = both.select(d, F.least(F.col("share") * high, F.col("cap")).alias("share"))
     rows = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         for d in DIMS:
             have = rows.groupBy(d).agg(F.sum("w").alias("_have"))
             rows = rows.join(have, d).join(shares[d], d).withColumn("w", F.when(F.col("_have") > 0, F.col("w") * F.col("share") / F.col("_have")).otherwise(0.0)).select(*DIMS, "tokens", "w")
@@ -172,7 +174,7 @@ def _weights_in_spark(cells: DataFrame, alpha: float, rate: float, targets: dict
         rows = staged(rows, "raked")
         if way != "capped":
             left = max(rows.groupBy(d).agg(F.sum("w").alias("_have")).join(shares[d], d).agg(F.max(F.abs(F.col("_have") - F.col("share")))).first()[0] or 0 for d in DIMS)
-            if left <= TOL:
+            if done >= least and left <= TOL:
                 break
     if way != "capped":
         _warn(left)
@@ -191,17 +193,17 @@ def _weights_in_spark(cells: DataFrame, alpha: float, rate: float, targets: dict
     return rows.select(*DIMS, "factor", F.least(F.lit(1.0), F.col("factor") * hi).alias("prob"))
 
 
-def cell_weights(cells: DataFrame, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int | None = None, most: int = MAX_CELLS, way: str = "capped") -> DataFrame:
+def cell_weights(cells: DataFrame, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int | None = None, most: int = MAX_CELLS, way: str = "capped", least: int = 0) -> DataFrame:
     """cells (source, lang, topic, tokens) with factor and prob; up to `most` cells are raked in numpy, more in Spark.
 
-    By "copies" prob is the expected number of copies and may be above 1.
+    By "copies" prob is the expected number of copies and may be above 1. `least` is of no use to "capped", whose rounds are fixed.
     """
     if way not in WAYS:
         raise ValueError(f"{way} is none of {WAYS}")
     spark = cells.sparkSession
     rounds = rounds or {"capped": ROUNDS, "filled": FILL_ROUNDS}.get(way, MOST_ROUNDS)
     if cells.limit(most + 1).count() > most:
-        return _weights_in_spark(cells, alpha, rate, targets, rounds, way)
+        return _weights_in_spark(cells, alpha, rate, targets, rounds, way, least)
     got = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in DIMS))
     tokens = np.array([r["tokens"] for r in got], float)
     codes, shares = [], []
@@ -220,7 +222,7 @@ def cell_weights(cells: DataFrame, alpha: float = 0.5, rate: float = 0.5, target
     if got and way == "filled":
         bound = tokens / max(tokens.sum(), 1) / rate
         shares = [filled_shares(x, np.bincount(c, weights=bound, minlength=len(x))) for c, x in zip(codes, shares, strict=True)]
-    w = rake(tokens, codes, shares, rounds, None if way == "capped" else TOL, bound) if got else tokens
+    w = rake(tokens, codes, shares, rounds, None if way == "capped" else TOL, bound, least) if got else tokens
     if got and way != "capped":
         _warn(residual(w, codes, shares))
     factor = np.divide(w * tokens.sum(), tokens, out=np.zeros_like(w), where=tokens > 0)
@@ -238,13 +240,13 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, topic: Column | None = None, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None, most: int = MAX_CELLS, way: str = "capped") -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, alpha: float = 0.5, rate: float = 0.5, targets: dict[str, dict[str, float]] | None = None, most: int = MAX_CELLS, way: str = "capped", least: int = 0) -> DataFrame:
     """doc (a struct of docs' columns), source, lang, topic, n_tokens, factor, prob, sampled and copies (0 or 1 except by "copies")."""
     known = lambda c: F.coalesce(c, F.lit("<null>"))
     topic = form_topic(docs["text"]) if topic is None else topic
     rows = docs.select(F.struct("*").alias("doc"), draw(docs["doc_id"]).alias("draw"), n_words(docs["text"]).alias("n_tokens"), known(docs["source"]).alias("source"), known(docs["lang"]).alias("lang"), known(topic).alias("topic"))
     cells = staged(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    out = rows.join(cell_weights(cells, alpha, rate, targets, most=most, way=way), list(DIMS))
+    out = rows.join(cell_weights(cells, alpha, rate, targets, most=most, way=way, least=least), list(DIMS))
     whole = F.floor("prob")
     return out.select("doc", *DIMS, "n_tokens", "factor", "prob", (F.col("draw") < F.col("prob")).alias("sampled"), (whole + (F.col("draw") < F.col("prob") - whole).cast("long")).alias("copies"))
 

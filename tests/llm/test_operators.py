@@ -457,6 +457,24 @@ def test_mixing_meets_shares_where_cells_cap(spark, way, most):
             assert got.filter("topic = 'shouting'").agg(F.min("prob")).first()[0] > 0.99
 
 
+def test_mixing_copies_has_the_factors_of_its_sql(spark):
+    """Small cells, whose factors raking to TOL alone leaves off by more than the sixth decimal."""
+    sf = "/root/testdata/sf0.01"
+    same(queries.QUERIES["op9_mixing_copies"](spark, sf), connect(sf), queries.ORACLE_SQL["op9_mixing_copies"])
+
+
+def test_least_rounds(spark):
+    rng = np.random.default_rng(5)
+    tokens, codes, shares = rng.integers(1, 90, 12).astype(float), [np.arange(12) % 3, np.arange(12) // 3 % 2], [np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
+    rake = lambda **kw: mixing.rake(tokens, codes, shares, **kw).tolist()
+    assert rake(rounds=50, tol=1.0, least=7) == rake(rounds=7)
+    assert rake(rounds=50, tol=1.0) == rake(rounds=1)
+    assert rake(rounds=5, tol=1.0, least=7) == rake(rounds=5)
+    cells = spark.createDataFrame([(f"s{i % 3}", f"l{i // 3 % 2}", f"t{i // 6}", int(t)) for i, t in enumerate(tokens)], "source string, lang string, topic string, tokens long")
+    a, b = ({(r.source, r.lang, r.topic): r.factor for r in mixing.cell_weights(cells, way="copies", most=m, least=6).collect()} for m in (100, 1))
+    assert a == pytest.approx(b, rel=1e-9)
+
+
 @pytest.mark.parametrize("most", [1000, 1])
 def test_filled_mixing_does_not_shrink_for_a_rare_category(spark, most):
     rows = [(i, "!! w" if i == 7 else "w " * (1 + i % 5), "de" if i % 7 == 0 else "en", f"s{i % 3}") for i in range(400)] + [(400, "w", "xx", "rare")]
